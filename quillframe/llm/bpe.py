@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,108 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class Bpe:
-    """Encoder and decoder of one tokenizer file.
+class Pieces:
+    """Encodes whole texts by pieces that it remembers, whatever encodes a piece.
 
     A text is cut at each space that a visible character follows; there the
     pre-tokenizer always begins a new word, so what lies between can be
-    encoded alone and remembered. Texts with other runs of spaces go through
-    the pre-tokenizer's own pattern as a whole.
+    encoded alone. Texts with other runs of spaces go through the
+    pre-tokenizer's own pattern as a whole.
     """
 
+    added: dict[str, int]
+    cut: regex.Pattern | None
+
+    def __init__(self, added: dict[str, int]):
+        self.added = added
+        self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+        self.pattern = regex.compile(PATTERN)
+        self._clear()
+
+    def encode_pieces(self, new: list[str], prefix: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of prefix + piece for all pieces in one flat array, and where each piece begins and the last ends."""
+        raise NotImplementedError
+
+    def _clear(self) -> None:
+        #: place of a key among the remembered pieces. A piece after a space is its own key, as it
+        #: never begins with white space; other pieces have a space before, added tokens a tab.
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.start, self.size, self.n = np.zeros(1 << 15, dtype=np.int64), np.zeros(1 << 15, dtype=np.int32), 0
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode the pieces of keys not seen before, and remember them."""
+        groups = ([k for k in new if k[:1] not in (" ", "\t")], [k for k in new if k[:1] == " "], [k for k in new if k[:1] == "\t"])
+        for keys, prefix in zip(groups, (" ", "", None), strict=True):
+            for k in range(0, len(keys), 50_000):
+                some = keys[k : k + 50_000]
+                if prefix is None:
+                    ids, ends = np.array([self.added[x[1:]] for x in some], dtype=np.uint32), np.arange(len(some) + 1)
+                else:
+                    ids, ends = self.encode_pieces([x[1:] for x in some] if prefix == "" else some, prefix)
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+                while self.n + len(some) > len(self.start):
+                    self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.start[self.n : self.n + len(some)] = self.used + ends[:-1]
+                self.size[self.n : self.n + len(some)] = np.diff(ends)
+                self.known.update(zip(some, range(self.n, self.n + len(some)), strict=True))
+                self.used, self.n = self.used + len(ids), self.n + len(some)
+
+    def _keys(self, text: str, keys: list[str]) -> None:
+        """Append the keys of a text's pieces."""
+        for added, part in self._split(text):
+            if added:
+                keys.append("\t" + part)
+            elif _ODD_SPACE.search(part):
+                keys += [" " + w for w in self.pattern.findall(part)]
+            else:
+                cut = part.split(" ")
+                cut[0] = " " + cut[0]
+                keys += cut
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, null as empty; what tokenizers gives without special tokens around a text."""
+        if self.n > CACHE:
+            self._clear()
+        keys: list[str] = []
+        ends = np.zeros(len(texts) + 1, dtype=np.int64)
+        for k, t in enumerate(texts, 1):
+            if t:
+                self._keys(t, keys)
+            ends[k] = len(keys)
+        at = np.fromiter(map(self.known.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            wanted = [keys[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(wanted)))
+            at[missing] = np.fromiter(map(self.known.__getitem__, wanted), dtype=np.int64, count=len(wanted))
+        size = self.size[at]
+        sums = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        flat = self.flat[np.repeat(self.start[at] - sums[:-1], size) + np.arange(int(sums[-1]))]
+        cut = sums[ends].tolist()
+        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _split(self, text: str) -> Iterator[tuple[bool, str]]:
+        """A text cut at added tokens: (True, token) or (False, text between)."""
+        if self.cut is None or not any(t in text for t in self.added):
+            if text:
+                yield False, text
+            return
+        at = 0
+        for m in self.cut.finditer(text):
+            if m.start() > at:
+                yield False, text[at : m.start()]
+            yield True, m[0]
+            at = m.end()
+        if at < len(text):
+            yield False, text[at:]
+
+
+class Bpe(Pieces):
+    """Encoder and decoder of one tokenizer file."""
+
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model, pre, dec = spec["model"], spec["pre_tokenizer"] or {}, spec["decoder"] or {}
@@ -73,23 +167,13 @@ class Bpe:
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
             raise ValueError("added tokens with context aren't supported")
-        self.added = added
-        self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
-        self.pattern = regex.compile(PATTERN)
+        super().__init__(added)
         self.bytes: list[bytes] = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for t, i in vocab.items():
             if t not in added:
                 self.bytes[i] = bytes(back[c] for c in t)
         for t, i in added.items():
             self.bytes[i] = t.encode()
-        self._clear()
-
-    def _clear(self) -> None:
-        #: place of a piece in the flat array of remembered ids; one table for pieces after a space, one for others
-        self.after: dict[str, int] = {}
-        self.bare: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.size, self.n = np.zeros(1 << 15, dtype=np.int64), np.zeros(1 << 15, dtype=np.int64), 0
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one flat array, and how many each word has.
@@ -146,12 +230,12 @@ class Bpe:
         sizes += np.bincount(owner, minlength=len(words))
         return out[order].astype(np.uint32), sizes
 
-    def _learn(self, table: dict[str, int], new: list[str], prefix: str) -> None:
-        """Encode pieces not seen before, and remember them."""
+    def encode_pieces(self, new: list[str], prefix: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of prefix + piece for all pieces in one flat array, and where each piece begins and the last ends."""
         if prefix:
             # no such piece holds a space, so the words that begin with one begin the pieces
             words = self.pattern.findall(prefix + prefix.join(new))
-            begin = np.flatnonzero(np.fromiter((w[0] == prefix for w in words), dtype=bool, count=len(words)))
+            begin = np.flatnonzero(np.fromiter(map(str.startswith, words, repeat(prefix)), dtype=bool, count=len(words)))
             begin = np.append(begin, len(words))
         else:
             cut = [self.pattern.findall(p) for p in new]
@@ -164,77 +248,7 @@ class Bpe:
         size = sizes[which]
         ids = ids[np.repeat(at[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         ends = np.concatenate(([0], np.cumsum(size)))[begin]
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while self.n + len(new) > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[self.n : self.n + len(new)] = self.used + ends[:-1]
-        self.size[self.n : self.n + len(new)] = np.diff(ends)
-        table.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        self.used, self.n = self.used + len(ids), self.n + len(new)
-
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, null as empty; what tokenizers gives without special tokens around a text."""
-        if self.n > CACHE:
-            self._clear()
-        plan: list[list[tuple[int, list[str]]]] = []  # for each text, runs of (0 bare, 1 after a space, 2 an added token)
-        after, bare = [], []
-        for t in texts:
-            runs: list[tuple[int, list[str]]] = []
-            for kind, part in self._split(t or ""):
-                if kind == 2:
-                    runs.append((2, [part]))
-                elif _ODD_SPACE.search(part):
-                    runs.append((0, w := self.pattern.findall(part)))
-                    bare.append(w)
-                else:
-                    cut = part.split(" ")
-                    head = cut[:1]
-                    if head[0]:
-                        runs.append((0, head))
-                        bare.append(head)
-                    if len(cut) > 1:
-                        del cut[:1]
-                        runs.append((1, cut))
-                        after.append(cut)
-            plan.append(runs)
-        for table, lists, prefix in ((self.after, after, " "), (self.bare, bare, "")):
-            new = set()
-            for x in lists:
-                new.update(x)
-            new = [p for p in new if p not in table]
-            for k in range(0, len(new), 50_000):
-                self._learn(table, new[k : k + 50_000], prefix)
-        out = []
-        for runs in plan:
-            parts = []
-            for kind, x in runs:
-                if kind == 2:
-                    parts.append(np.array([self.added[x[0]]], dtype=np.uint32))
-                    continue
-                at = np.fromiter(map((self.after if kind else self.bare).__getitem__, x), dtype=np.int64, count=len(x))
-                size = self.size[at]
-                total = int(size.sum())
-                shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-                parts.append(self.flat[shift + np.arange(total)])
-            out.append(parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)]))
-        return out
-
-    def _split(self, text: str) -> Iterator[tuple[int, str]]:
-        """A text cut at added tokens: (2, token) or (0, text between)."""
-        if self.cut is None or not any(t in text for t in self.added):
-            if text:
-                yield 0, text
-            return
-        at = 0
-        for m in self.cut.finditer(text):
-            if m.start() > at:
-                yield 0, text[at : m.start()]
-            yield 2, m[0]
-            at = m.end()
-        if at < len(text):
-            yield 0, text[at:]
+        return ids, ends
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
