@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, decontam, line_dedup, quality, simhash, url_filter
+from quillframe.llm import bpe, decontam, jpeg, line_dedup, quality, simhash, token_store, url_filter
 
 RULES = [
     url_filter.Rule("allow", "org/"),
@@ -36,6 +36,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_digests(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs)
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_digests(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -75,9 +83,11 @@ select page_id, host, path, case {text} end as rule, case {verdict} when {listed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_simhash": op2_simhash,
+    "op3_progressive_jpeg": op3_progressive_jpeg,
     "op4_bpe": op4_bpe,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_store": op9_token_store,
     "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {"op1_url_filters": _url_sql(), "op8_line_dedup": line_dedup.SQL}
