@@ -76,6 +76,8 @@ def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._quillframe_path = path
+    # the step's shuffle files go once the JVM sees that nothing refers to them
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, decontam, jpeg, line_dedup, pii, quality, simhash, token_store, url_filter
+from quillframe.llm import bpe, decontam, jpeg, line_dedup, pii, quality, simhash, suffix_dedup, token_store, url_filter
 
 RULES = [
     url_filter.Rule("allow", "org/"),
@@ -52,6 +52,10 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_progressive_jpeg": op3_progressive_jpeg,
     "op4_bpe": op4_bpe,
     "op5_pii_surrogates": op5_pii_surrogates,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_store": op9_token_store,
