@@ -238,14 +238,14 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 ["d", "h", "x", "c", "p", "low", "high"],
             )
 
-    return map_batches(docs.select("d", "h", "t"), run, f"d {dict(docs.dtypes)['d']}, h long, x long, c long, p long, low int, high int")
+    return map_batches(docs.select("d", "h", "t"), run, "d long, h long, x long, c long, p long, low int, high int")
 
 
 def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """t and, for each document, the list k of the classes that it stands for."""
+    """t and, for each document, the list k of the classes that it stands for; repeated rows give the same classes again, which changes nothing."""
     lists = reps.groupBy("d", "h").agg(F.collect_list(F.struct("x", "c", "p", "low", "high", "n")).alias("k"))
     one = docs.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "t")
-    return lists.join(one, lists["d"].eqNullSafe(one["_d"]) & (lists["h"] == one["_h"])).dropDuplicates(["d", "h"]).select("t", "k")
+    return lists.join(one, (lists["d"] == one["_d"]) & (lists["h"] == one["_h"])).select("t", "k")
 
 
 def _each(part: pa.RecordBatch) -> Iterator[tuple[bytes, dict]]:
@@ -354,13 +354,15 @@ def _window_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP, partitions: int | None = None) -> DataFrame:
-    """d, h, start, stop: stretches of bytes of documents (d, h, t) that repeated 400-byte strings cover."""
+    """d, h, start, stop: stretches of bytes of documents (d, h, t) that repeated 400-byte strings cover. d, h: 128 bits that name a document."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = table(_anchor_rows(docs))
-    groups = every.groupBy("x").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1").drop("n")
+    # a table, not a plan: an aggregate right below the join would keep Spark from splitting a frequent x
+    groups = table(every.groupBy("x").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1").drop("n"))
     hits = table(every.join(groups, "x"))
     drop_table(every)
+    drop_table(groups)
     mixed = hits.filter("mixed")
     classes = table(mixed.groupBy("x", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "p", "low", "high")).alias("r")).select("x", "c", "n", "r.*"))
     large = classes.groupBy("x").count().filter(F.col("count") > max_group).select("x")
@@ -386,9 +388,11 @@ def suffix_dedup(docs: DataFrame, max_group: int = MAX_GROUP, with_text: bool =
     doc_ids are kept; other columns are not read; an empty table gives an empty one.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    base = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t"))
+    base = docs.select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("d"), F.xxhash64(F.lit(7), "doc_id", "text").alias("h"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t")
+    )
     spans = repeated_spans(base, max_group).groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "stop")).alias("s"))
-    both = base.join(spans, base["d"].eqNullSafe(spans["_d"]) & (base["h"] == spans["_h"]), "left").select("d", "t", "s")
+    both = base.join(spans, (base["d"] == spans["_d"]) & (base["h"] == spans["_h"]), "left").select("doc_id", "t", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "t"):
@@ -407,7 +411,7 @@ def suffix_dedup(docs: DataFrame, max_group: int = MAX_GROUP, with_text: bool =
                 left = b"".join([*kept, t[at:]])
                 rows.append((len(t), len(t) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left if with_text else None))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-            yield pa.record_batch([part.column("d"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.record_batch([part.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     out = map_batches(both, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
