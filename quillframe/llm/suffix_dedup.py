@@ -243,7 +243,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """t and, for each document, the list k of the classes that it stands for; repeated rows give the same classes again, which changes nothing."""
-    lists = reps.groupBy("d", "h").agg(F.collect_list(F.struct("x", "c", "p", "low", "high", "n")).alias("k"))
+    lists = reps.groupBy("d", "h").agg(F.collect_list(F.struct("x", "c", "p", "low", "high", "n", "big")).alias("k"))
     one = docs.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "t")
     return lists.join(one, (lists["d"] == one["_d"]) & (lists["h"] == one["_h"])).select("t", "k")
 
@@ -365,13 +365,15 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP, partitions: int
     drop_table(groups)
     mixed = hits.filter("mixed")
     classes = table(mixed.groupBy("x", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "p", "low", "high")).alias("r")).select("x", "c", "n", "r.*"))
-    large = classes.groupBy("x").count().filter(F.col("count") > max_group).select("x")
-    small = table(_contexts(docs, classes.join(large, "x", "left_anti")))
+    large = table(classes.groupBy("x").count().filter(F.col("count") > max_group).select("x", F.lit(True).alias("big")))
+    flagged = classes.join(large, "x", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    contexts = table(_contexts(docs, flagged))
+    small = contexts.select("t", F.filter("k", lambda k: ~k["big"]).alias("k"))
     spans = _sorted_spans(small, _ranges(small, n))
     if not large.isEmpty():
-        spans = spans.unionByName(_hashed_spans(_contexts(docs, classes.join(large, "x", "left_semi"))))
+        spans = spans.unionByName(_hashed_spans(contexts.select("t", F.filter("k", lambda k: k["big"]).alias("k"))))
     spans = table(spans)
-    drop_table(small)
+    drop_table(contexts)
     some = mixed.select("x", "c", "d", "h", "p").join(spans, ["x", "c"])
     whole = hits.filter("not mixed").select(*some.columns)
     return some.unionByName(whole).select("d", "h", (F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + LENGTH).alias("stop")).distinct()
