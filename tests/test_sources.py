@@ -50,8 +50,15 @@ def test_number_forms(spark, tmp_path):
 
 def test_ragged_comments_and_ends_of_line(spark, tmp_path):
     p = tmp_path / "r.csv"
-    p.write_bytes(b"# one\n@two\na,b,c\r\n1,2\r\n3,4,5,6\r\n\r\n7,8,9")
-    assert rows(read_delimited(spark, str(p))) == [(1, 2, None), (3, 4, 5), (7, 8, 9)]
+    p.write_bytes(b"# one\n@two\na,b,c\r\n7,8,9\r\n1,2\r\n3,4,5,6\r\n\r\n7,8,9")
+    assert rows(read_delimited(spark, str(p))) == [(7, 8, 9), (1, 2, None), (3, 4, 5), (7, 8, 9)]
+
+
+def test_separator_needs_two_lines_that_agree(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_bytes(b"a,b,c\n1,2\n")
+    assert rows(read_delimited(spark, str(p))) == [("a,b,c",), ("1,2",)]
+    assert rows(read_delimited(spark, str(p), header=True, separator=",")) == [(1, 2, None)]
 
 
 def test_blank_separated_and_quoted(spark, tmp_path):
