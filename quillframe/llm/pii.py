@@ -14,10 +14,12 @@ _TITLES = {
 }
 _TITLE = "|".join(t for ts in _TITLES.values() for t in ts)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}"
+_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}"
+_NAMED = r"(?i:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key)['\"]? {0,2}"
 _SECRET = (
-    r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
-    r"|(?<=(?i:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key)['\"]? {0,2}[=:] {0,2}['\"]?)[A-Za-z0-9_+/=\-]{8,256}(?![A-Za-z0-9_+/=\-])"
+    r"(?<![A-Za-z0-9])(?:(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[A-F]*[0-9])[0-9A-F]{32,128})(?![A-Za-z0-9])"
+    r"|(?<=[=: '\"])(?<=[=:] {0,2}['\"]?)"  # both follow from what comes next, and rule out most places at once
+    rf"(?<={_NAMED}[=:] {{0,2}}['\"]?)[A-Za-z0-9_+/=\-]{{8,256}}(?![A-Za-z0-9_+/=\-])"
     r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
 )
 _IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
@@ -28,11 +30,13 @@ _PHONE = (
     r"(?<![\w.+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)"
     r"|(?<![\w.+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.+\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
 )
-_PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'’\-]+(?: \p{{Lu}}[\p{{Ll}}'’\-]+)?(?!\p{{L}})"
+_PERSON = rf"(?=[MSHDPГ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'’\-]+(?: \p{{Lu}}[\p{{Ll}}'’\-]+)?(?!\p{{L}})"
 #: Every kind of entity; at one place the earlier kind wins.
 PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IP, _IBAN, _CARD, _SSN, _PHONE, _PERSON))
-#: Holds wherever PATTERN can match: cheap to test, and false for most prose.
-_MAYBE = rf"[@0-9=]|(?i:token|secret|passw|pwd|key)|(?:{_TITLE})\.? \p{{Lu}}"
+#: Holds wherever PATTERN can match: each alternative begins at a rare character, so that most of prose is passed over at once.
+_MAYBE = (
+    rf"(?=[@0-9=:MSHDPГ_A\-])(?:[@0-9]|[=:](?<={_NAMED}[=:])|(?:{_TITLE})\.? \p{{Lu}}|_(?<=gh[pousr]_)|-(?<=sk-)|AKIA)"
+)
 
 _SOUNDS = {
     "latin": (["ba", "de", "fi", "go", "lu", "mar", "nel", "per", "ro", "sti", "tan", "vel", "wen", "kor", "hal", "bri"], {"m": "us", "f": "ia", "n": "en", "s": "er"}),
@@ -217,7 +221,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_q_row")
     maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
     found = docs.select(row, "text", F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("_q_found"))
-    some = F.coalesce(F.size(F.when(F.col("_q_found").isNotNull(), F.col("_q_found"))), F.lit(0)) > 0
+    some = F.coalesce(F.size("_q_found"), F.lit(0)) > 0
 
     def out(df: DataFrame, text: Column, n: Column) -> DataFrame:
         return df.select(*((text if c == "text" else F.col("_q_row")[c]).alias(c) for c in keep), n.cast("int").alias("n_entities"))
