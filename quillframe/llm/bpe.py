@@ -10,6 +10,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -98,28 +99,59 @@ class Pieces:
                 cut[0] = " " + cut[0]
                 keys += cut
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, null as empty; what tokenizers gives without special tokens around a text."""
-        if self.n > CACHE:
-            self._clear()
-        keys: list[str] = []
-        ends = np.zeros(len(texts) + 1, dtype=np.int64)
-        for k, t in enumerate(texts, 1):
-            if t:
-                self._keys(t, keys)
-            ends[k] = len(keys)
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Places of keys among the remembered pieces, which new ones join."""
         at = np.fromiter(map(self.known.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             wanted = [keys[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(wanted)))
             at[missing] = np.fromiter(map(self.known.__getitem__, wanted), dtype=np.int64, count=len(wanted))
+        return at
+
+    def _plain(self, text: str) -> bool:
+        """Whether a text is cut at each of its spaces."""
+        return not _ODD_SPACE.search(text) and not any(t in text for t in self.added)
+
+    def _flat(self, at: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts out of their pieces' places; ends: the pieces before each text, and all."""
         size = self.size[at]
         sums = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         flat = self.flat[np.repeat(self.start[at] - sums[:-1], size) + np.arange(int(sums[-1]))]
         cut = sums[ends].tolist()
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, null as empty; what tokenizers gives without special tokens around a text."""
+        if self.n > CACHE:
+            self._clear()
+        plain = [k for k, t in enumerate(texts) if t and self._plain(t)]
+        other = sorted({*range(len(texts))} - {*plain})
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        if plain:
+            # Arrow finds the distinct pieces, so that only those are looked up
+            lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+            ends = lists.offsets.to_numpy()
+            words = lists.flatten()
+            inside = np.ones(len(words), dtype=bool)
+            inside[ends[:-1]] = False
+            coded = words.filter(pa.array(inside)).dictionary_encode()
+            at = np.empty(len(words), dtype=np.int64)
+            at[ends[:-1]] = self._places([" " + w for w in words.take(pa.array(ends[:-1])).to_pylist()])
+            at[inside] = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+            for k, ids in zip(plain, self._flat(at, ends), strict=True):
+                out[k] = ids
+        if other:
+            keys: list[str] = []
+            ends = np.zeros(len(other) + 1, dtype=np.int64)
+            for n, k in enumerate(other, 1):
+                if texts[k]:
+                    self._keys(texts[k], keys)
+                ends[n] = len(keys)
+            for k, ids in zip(other, self._flat(self._places(keys), ends), strict=True):
+                out[k] = ids
+        return out
+
     def _split(self, text: str) -> Iterator[tuple[bool, str]]:
         """A text cut at added tokens: (True, token) or (False, text between)."""
         if self.cut is None or not any(t in text for t in self.added):

@@ -18,13 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.bpe import Pieces, default_path
+from quillframe.llm.bpe import Pieces, byte_alphabet, default_path
 from quillframe.llm.common import map_batches, pieces, table
 
 #: The id that ends each document.
 END = 2
 _MAGIC = b"DACS"
 _SPAN = 512  # bits under one entry of a rank directory
+_JOINED = 1000  # pieces that go through the library in one text
 
 
 class DirectCodes:
@@ -122,10 +123,22 @@ class Library(Pieces):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab, space = self.tokenizer.get_vocab(with_added_tokens=False), byte_alphabet()[32]
+        self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith(space)]] = True
         super().__init__({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
 
     def encode_pieces(self, new: list[str], prefix: str) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([prefix + p for p in new], add_special_tokens=False)]
+        """Ids of prefix + piece for all pieces in one flat array, and where each piece begins and the last ends.
+
+        Pieces behind a space go through the library in long texts: only the
+        first id of each has a space at its start, and none a space elsewhere.
+        """
+        if prefix:
+            texts = [prefix + prefix.join(new[k : k + _JOINED]) for k in range(0, len(new), _JOINED)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            return ids, np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))))
         return np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(ends[-1])), ends
 
