@@ -55,9 +55,8 @@ def density(df: DataFrame, x: Column, y: Column, width: int = 800, height: int =
 def threshold_counts(df: DataFrame, actual: Column, predicted: Column, thresholds: Sequence[float]) -> DataFrame:
     """threshold, tn, fp, fn, tp for each threshold: positive if predicted >= threshold. One pass, few rows for the driver."""
     ts = sorted(thresholds)
-    bin_ = F.lit(0)
-    for t in ts:
-        bin_ = bin_ + F.when(F.col("p") >= t, 1).otherwise(0)
+    # one function over a constant, as a condition for each threshold outgrows what a generated method may hold
+    bin_ = F.size(F.filter(F.array(*(F.lit(float(t)) for t in ts)), lambda t: t <= F.col("p")))
     rows = df.select(ieee.dbl(actual).alias("a"), ieee.dbl(predicted).alias("p")).filter("a is not null and p is not null")
     bins = rows.select((F.col("a") != 0).alias("pos"), bin_.alias("b")).groupBy("b").agg(F.sum(F.col("pos").cast("long")).alias("p"), F.sum((~F.col("pos")).cast("long")).alias("n"))
     known = {r["b"]: (r["p"], r["n"]) for r in bins.collect()}

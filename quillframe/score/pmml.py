@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ class Inputs:
 
     kinds: Mapping[str, str]
     columns: Mapping[str, Column]
+    types: Mapping[str, str] = field(default_factory=dict)  # of the columns, where they are known
 
     def typed(self, name: str) -> tuple[Column, str]:
         kind = self.kinds.get(name, "string")
@@ -42,6 +43,11 @@ class Inputs:
             return F.lit(None).cast("string" if kind == "string" else "double"), kind
         if kind == "string":
             return c.cast("string"), kind
+        known = self.types.get(name, "string")
+        if known in _WHOLE or known.startswith("decimal"):
+            return c.cast("double"), kind
+        if known in ("double", "float"):
+            return F.when(~F.isnan(c), c.cast("double")), kind
         # text that isn't a number is missing; true and false are 1 and 0
         s = c.cast("string")
         number = F.when(F.lower(s) == "true", 1.0).when(F.lower(s) == "false", 0.0).otherwise(s.try_cast("double"))
@@ -54,6 +60,7 @@ def _value(text: str, kind: str) -> Column:
     return F.lit({"true": 1.0, "false": 0.0}[text.lower()] if text.lower() in ("true", "false") else float(text))
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 PREDICATES = ("SimplePredicate", "CompoundPredicate", "SimpleSetPredicate", "True", "False")
 
 
@@ -113,7 +120,9 @@ class Pmml:
     def inputs(self, df: DataFrame, fields: Mapping[str, str] | None = None) -> Inputs:
         """Model fields over a DataFrame's columns, renamed by fields (model's name to column)."""
         fields = fields or {}
-        return Inputs(self.kinds, {n: F.col(f"`{fields.get(n, n)}`") for n in self.kinds if fields.get(n, n) in df.columns})
+        types = dict(df.dtypes)
+        found = {n: fields.get(n, n) for n in self.kinds if fields.get(n, n) in types}
+        return Inputs(self.kinds, {n: F.col(f"`{c}`") for n, c in found.items()}, {n: types[c] for n, c in found.items()})
 
     def expression(self, inputs: Inputs) -> Column:
         return self._scorecard(inputs) if self.card is not None else self._vote(inputs)
