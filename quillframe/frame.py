@@ -36,7 +36,7 @@ def number_rows(df: DataFrame, order: Sequence[str], buckets: int = 0) -> DataFr
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
     # other kinds are ranged by a hash-free key that keeps the order: the timestamp's seconds, or the text's first bytes
-    key = col(lead).cast("double") if number or kind in ("timestamp", "date") else F.conv(F.hex(F.substring(col(lead).cast("binary"), 1, 6)), 16, 10).cast("double")
+    key = col(lead).cast("double") if number or kind in ("timestamp", "date") else F.conv(F.rpad(F.hex(F.substring(col(lead).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     if kind in ("date",):
         key = F.unix_date(col(lead)).cast("double")
     bounds = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 else None
