@@ -13,6 +13,7 @@ _TITLES = {
     "n": ["Dr", "Prof"],
 }
 _TITLE = "|".join(t for ts in _TITLES.values() for t in ts)
+_FIRST = "".join(sorted({t[0] for ts in _TITLES.values() for t in ts}))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}"
 _NAMED = r"(?i:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key)['\"]? {0,2}"
@@ -30,12 +31,12 @@ _PHONE = (
     r"(?<![\w.+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)"
     r"|(?<![\w.+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.+\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
 )
-_PERSON = rf"(?=[MSHDPГ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'’\-]+(?: \p{{Lu}}[\p{{Ll}}'’\-]+)?(?!\p{{L}})"
+_PERSON = rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'’\-]+(?: \p{{Lu}}[\p{{Ll}}'’\-]+)?(?!\p{{L}})"
 #: Every kind of entity; at one place the earlier kind wins.
 PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IP, _IBAN, _CARD, _SSN, _PHONE, _PERSON))
 #: Holds wherever PATTERN can match: each alternative begins at a rare character, so that most of prose is passed over at once.
 _MAYBE = (
-    rf"(?=[@0-9=:MSHDPГ_A\-])(?:[@0-9]|[=:](?<={_NAMED}[=:])|(?:{_TITLE})\.? \p{{Lu}}|_(?<=gh[pousr]_)|-(?<=sk-)|AKIA)"
+    rf"(?=[@0-9=:{_FIRST}_A\-])(?:[@0-9]|[=:](?<={_NAMED}[=:])|(?:{_TITLE})\.? \p{{Lu}}|_(?<=gh[pousr]_)|-(?<=sk-)|AKIA)"
 )
 
 _SOUNDS = {

@@ -50,6 +50,13 @@ def test_surrogates(docs):
     assert out[7] == ("Nothing here.", 0) and out[8] == ("", 0) and out[9] == (None, 0)
 
 
+def test_every_title(docs):
+    titles = [t for ts in pii._TITLES.values() for t in ts]
+    out = run(docs, [(k, f"heute kam {t} Müller an.") for k, t in enumerate(titles)])
+    for k, t in enumerate(titles):
+        assert out[k][1] == 1 and "Müller" not in out[k][0] and out[k][0].startswith(f"heute kam {t} "), t
+
+
 def test_keys_decide(docs):
     rows = list(enumerate(TEXTS))
     assert run(docs, rows) == run(docs, rows[::-1]) and run(docs, rows)[0] != run(docs, rows, "other")[0]
