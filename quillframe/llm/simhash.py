@@ -184,6 +184,21 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     return map_batches(dealt, run, "a long, b long")
 
 
+def _rooted(docs: DataFrame, n: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp for every row of docs; and fp, least (doc_id), root (the component's least fingerprint) for every fingerprint."""
+    prints = table(fingerprints(docs, n))
+    least = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # components run over fingerprints, so that ids may be null or repeated
+    found = components(links(least.select("fp"), radius))
+    return prints, least.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+
+
+def _hexed():
+    return F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+
+
 def near_groups(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs.
 
@@ -194,16 +209,10 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> Data
     id. Repeated rows are kept. An empty table gives an empty one; other
     columns are not read.
     """
-    prints = table(fingerprints(docs, n))
-    least = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # components run over fingerprints, so that ids may be null or repeated
-    found = components(links(least.select("fp"), radius))
-    rooted = least.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    prints, rooted = _rooted(docs, n, radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", _hexed(), "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -213,8 +222,10 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFra
     the group, the one with the least fingerprint and then the least columns
     stays.
     """
-    groups = near_groups(docs, n, radius)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")).alias("x"))
+    prints, rooted = _rooted(docs, n, radius)
+    # a component_id may stand for several components: ids may be null or repeated
+    groups = prints.join(rooted, "fp").select("doc_id", _hexed(), "root")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")).alias("x"))
     kept = best.select(F.col("x.doc_id").alias("_q_id"), F.conv("x.fingerprint", 16, -10).cast("long").alias("_q_fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,6 +79,12 @@ def test_one_of_each_group_stays(docs):
     assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 1
 
 
+def test_groups_that_share_an_id_or_have_none_keep_one_each(docs):
+    rows = [(None, "only null"), (None, "far from it all"), (7, "a b c d"), (7, "something else again"), (7, "A b c d")]
+    out = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(docs(rows)).collect())
+    assert out == [("7", "A b c d"), ("7", "something else again"), ("None", "far from it all"), ("None", "only null")]
+
+
 def test_query(spark, small):
     rows = [(r[0], r[1]) for r in small("documents")]
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op2_simhash(spark, "/root/testdata/sf0.001").collect()}
