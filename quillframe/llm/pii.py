@@ -206,11 +206,29 @@ def _render(m: Column, found: Column) -> Column:
     )
 
 
+def _bare(name: Column) -> Column:
+    """A name's word without a genitive ending or marks at its end."""
+    return F.regexp_replace(name, r"(?:['’]s?|-)+$", "")
+
+
+def _names(found: Column) -> Column:
+    """word, surrogate of each name that found maps; the first of several for one word holds: surnames, and whole words, before others."""
+    people = F.filter(F.map_entries(found), lambda e: F.split_part(e["key"], F.lit("\u0001"), F.lit(1)).isin("given", "surname"))
+
+    def one(e: Column) -> Column:
+        norm = F.split_part(e["key"], F.lit("\u0001"), F.lit(3))
+        given = F.split_part(e["key"], F.lit("\u0001"), F.lit(1)) == "given"
+        return F.struct((-F.length(_bare(norm))).alias("n"), (norm != _bare(norm)).alias("cut"), given.alias("given"), e["key"].alias("unit"), _bare(norm).alias("word"), e["value"].alias("to"))
+
+    return F.array_sort(F.transform(people, one))
+
+
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """All columns of docs with surrogates in text, and n_entities, the number of mentions replaced.
 
     Found are e-mail and IPv4 addresses, phone, card, account (IBAN) and
-    social security numbers, secrets, and names after a title. The same value
+    social security numbers, secrets, names after a title, and all other
+    whole-word mentions of those names in the same document. The same value
     has the same surrogate in all documents and formats; different values of a
     type have different ones, and no surrogate is a value that the corpus
     holds. Texts without an entity, empty and null ones (n_entities 0) among
@@ -233,8 +251,21 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     units = dirty.select("_q_id", F.explode(F.array_distinct(F.flatten(F.transform("_q_found", _units)))).alias("unit")).distinct()
     named = units.join(surrogates(units, key), "unit")
     maps = named.groupBy("_q_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "surrogate"))).alias("_q_map"))
+    known = dirty.join(maps, "_q_id").withColumn("_q_names", _names(F.col("_q_map")))
+    # longer names come first; a document without names has a pattern that matches nothing
+    words = F.array_join(F.transform("_q_names", lambda e: e["word"]), "|")
+    again = F.when(F.size("_q_names") > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(r"(?!)"))
+
+    def between(x: Column) -> Column:
+        """Text between mentions, with surrogates for the names that the document's mentions hold."""
+        hits = F.regexp_extract_all(x, F.col("_q_again"), F.lit(0))
+        to = lambda w: F.get(F.filter("_q_names", lambda e: e["word"] == w), F.lit(0))["to"]
+        return F.array_join(F.transform(F.split(x, F.col("_q_again")), lambda y, i: F.concat(y, F.coalesce(to(F.get(hits, i)), F.lit("")))), "")
+
     rest = F.split(F.col("text"), PATTERN)
+    named_too = F.size("_q_names") > 0
     new = F.array_join(
-        F.transform(rest, lambda x, i: F.concat(x, F.coalesce(_render(F.get("_q_found", i), F.col("_q_map")), F.lit("")))), ""
+        F.transform(rest, lambda x, i: F.concat(F.when(named_too, between(x)).otherwise(x), F.coalesce(_render(F.get("_q_found", i), F.col("_q_map")), F.lit("")))), ""
     )
-    return clean.unionByName(out(dirty.join(maps, "_q_id"), new, F.size("_q_found")))
+    more = F.aggregate(rest, F.lit(0), lambda n, x: n + F.size(F.regexp_extract_all(x, F.col("_q_again"), F.lit(0))))
+    return clean.unionByName(out(known.withColumn("_q_again", again), new, F.size("_q_found") + F.when(named_too, more).otherwise(0)))

@@ -57,6 +57,14 @@ def test_every_title(docs):
         assert out[k][1] == 1 and "Müller" not in out[k][0] and out[k][0].startswith(f"heute kam {t} "), t
 
 
+def test_other_mentions_of_a_detected_name(docs):
+    rows = [(1, "Smith wrote. Mr John Smith called. Smith said so; John Smith left, Smith's hat, Smithson and Blacksmith stayed. JohnSmith"), (2, "Smith alone")]
+    out = run(docs, rows)
+    m = re.fullmatch(r"(\w+) wrote\. Mr (\w+) (\w+) called\. (\w+) said so; (\w+) (\w+) left, (\w+)'s hat, Smithson and Blacksmith stayed\. JohnSmith", out[1][0])
+    assert m and len({m[1], m[3], m[4], m[6], m[7]}) == 1 and m[2] == m[5] and "Smith" != m[1] and m[2] != "John"
+    assert out[1][1] == 6 and out[2] == ("Smith alone", 0)
+
+
 def test_keys_decide(docs):
     rows = list(enumerate(TEXTS))
     assert run(docs, rows) == run(docs, rows[::-1]) and run(docs, rows)[0] != run(docs, rows, "other")[0]
