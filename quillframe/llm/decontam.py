@@ -96,8 +96,10 @@ class HammingIndex:
 class Items:
     """What a pass over documents needs of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
-        self.words = {t: words(x) for t, x in items}
+    def __init__(self, items: list[tuple[int | None, str]], radius: int = RADIUS):
+        # items go by a running number: ids may be null or repeated
+        self.ids = [i for i, _ in items]
+        self.words = {t: words(x) for t, (_, x) in enumerate(items)}
         self.words = {t: w for t, w in self.words.items() if w}
         self.bags = {t: Counter(shingles(w)) for t, w in self.words.items()}
         self.known = {x: k for k, x in enumerate(sorted({x for w in self.words.values() for x in w}), 1)}
@@ -109,7 +111,7 @@ class Items:
         self.index = HammingIndex({t: fingerprint([_hash(s) for s in bag.elements()]) for t, bag in self.bags.items()}, radius)
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, windows, word at which the best one starts) for each item that some window is similar to."""
+        """(number of the item, similarity, windows, word at which the best one starts) for each item that some window is similar to."""
         w = words(text)
         if not w:
             return []
@@ -179,10 +181,10 @@ def _runs(starts: np.ndarray, size: int, most: int = 4096) -> Iterator[tuple[int
             yield k, min(b, k + most)
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_words words, read partition by partition; null texts and ids are left out."""
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct pairs of id and text in blocks of about block_words words, read partition by partition; null texts are left out."""
     block, n = [], 0
-    rows = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
+    rows = benchmark.filter("text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         block.append((r["item_id"], r["text"]))
         n += len(r["text"]) // 4 + 1
@@ -202,8 +204,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
     are lower-cased runs of letters, digits and underscores. first_word is
     where the first of the most similar windows starts. Null and wordless
     texts and items match nothing; without items the result is empty. Rows
-    with a null doc_id and repeated rows give a row each; items with the same
-    item_id count as one and the last text stands.
+    with a null doc_id and repeated rows give a row each. Every distinct text
+    under an item_id is an item, and so is one under a null id; item rows of
+    the same id and text count as one.
     """
     kind = {n: t for n, t in docs.dtypes}["doc_id"]
     item = {n: t for n, t in benchmark.dtypes}["item_id"]
@@ -215,7 +218,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for part in pieces(batches, "text"):
-                rows = [(d, *m) for d, x in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for m in items.matches(x)]
+                texts = zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
+                rows = [(d, items.ids[t], *m) for d, x in texts for t, *m in items.matches(x)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (part.schema.field("doc_id").type, None, pa.float64(), pa.int64(), pa.int64())
                 arrays = [pa.array(c, k or pa.int64()) for c, k in zip(columns, kinds, strict=True)]

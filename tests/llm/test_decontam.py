@@ -86,6 +86,15 @@ def test_repeats_nulls_and_empty_tables(spark, docs):
     assert decontam.contaminated(docs(rows), bench(spark, items)).count() in (0, 3)
 
 
+def test_items_with_one_id_and_with_none_count(spark, docs):
+    items = [(1, "a b c d e f g h"), (1, "i j k l m n o p"), (1, "i j k l m n o p"), (None, "q r s t u v w x")]
+    rows = [(1, "a b c d e f g h"), (2, "i j k l m n o p"), (3, "q r s t u v w x"), (4, "none of it"), (5, "a b c d e f g h i j k l m n o p")]
+    for words in (decontam.BLOCK_WORDS, 1):
+        out = decontam.contaminated(docs(rows), bench(spark, items), words).collect()
+        assert sorted((r["doc_id"], str(r["item_id"])) for r in out) == [(1, "1"), (2, "1"), (3, "None"), (5, "1"), (5, "1")]
+        assert [r["doc_id"] for r in decontam.drop_contaminated(docs(rows), bench(spark, items), words).collect()] == [4]
+
+
 def test_query(spark, small):
     want = brute.contaminated([r[:2] for r in small("documents")], small("benchmark"))
     assert found(op10_decontamination(spark, "/root/testdata/sf0.001")) == {k: round(s, 9) for k, s in want.items()}
