@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 
 from quillframe.llm.common import map_batches, pieces
 
-#: Pieces that a worker remembers; past that it starts afresh.
-CACHE = 1_000_000
+#: Bytes of pieces that a worker remembers, about; past that it starts afresh.
+CACHE_BYTES = 160 << 20
+#: Of one remembered piece besides its characters and ids: its string, its entry, its place.
+_PIECE_BYTES = 180
 
 
 def default_path() -> str:
@@ -29,6 +31,9 @@ def default_path() -> str:
 #: Where byte-level pre-tokenizers cut.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = re.compile(r" (?:\s|$)")
+#: A line feed between visible characters is a word of its own.
+_LINE = re.compile(r"(?<!\s)\n(?!\s)")
+_MARKS = ".,;:!?"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -54,22 +59,45 @@ class Pieces:
         self.added = added
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.pattern = regex.compile(PATTERN)
-        self._clear()
+        self.clear()
 
     def encode_pieces(self, new: list[str], prefix: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of prefix + piece for all pieces in one flat array, and where each piece begins and the last ends."""
         raise NotImplementedError
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all pieces."""
         #: place of a key among the remembered pieces. A piece after a space is its own key, as it
         #: never begins with white space; other pieces have a space before, added tokens a tab.
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.start, self.size, self.n = np.zeros(1 << 15, dtype=np.int64), np.zeros(1 << 15, dtype=np.int32), 0
 
+    def _parts(self, key: str) -> list[str] | None:
+        """The keys of what a piece surely falls into: lines, and the marks behind a line's last letter; None if it stays whole."""
+        if key[:1] in (" ", "\t"):
+            return None
+        found: list[str] = []
+        for n, line in enumerate(_LINE.split(key) if "\n" in key else [key]):
+            if n:
+                found.append(" \n")
+            word = line.rstrip(_MARKS)
+            if word and word != line and word[-1].isalpha() and word[-1] < "\u0530":
+                found += [" " + word if n else word, " " + line[len(word) :]]
+            elif line:
+                found.append(" " + line if n else line)
+        return found if len(found) > 1 else None
+
     def _learn(self, new: list[str]) -> None:
         """Encode the pieces of keys not seen before, and remember them."""
-        groups = ([k for k in new if k[:1] not in (" ", "\t")], [k for k in new if k[:1] == " "], [k for k in new if k[:1] == "\t"])
+        whole = {k: parts for k in new if (k[-1:] in _MARKS or "\n" in k) and (parts := self._parts(k))}
+        simple = [k for k in new if k not in whole]
+        if whole:
+            known = self.known
+            inside = dict.fromkeys(x for parts in whole.values() for x in parts)
+            simple += [x for x in inside.keys() - dict.fromkeys(simple).keys() if x not in known]
+        groups = ([k for k in simple if k[:1] not in (" ", "\t")], [k for k in simple if k[:1] == " "], [k for k in simple if k[:1] == "\t"])
         for keys, prefix in zip(groups, (" ", "", None), strict=True):
             for k in range(0, len(keys), 50_000):
                 some = keys[k : k + 50_000]
@@ -77,15 +105,30 @@ class Pieces:
                     ids, ends = np.array([self.added[x[1:]] for x in some], dtype=np.uint32), np.arange(len(some) + 1)
                 else:
                     ids, ends = self.encode_pieces([x[1:] for x in some] if prefix == "" else some, prefix)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-                while self.n + len(some) > len(self.start):
-                    self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[self.n : self.n + len(some)] = self.used + ends[:-1]
-                self.size[self.n : self.n + len(some)] = np.diff(ends)
-                self.known.update(zip(some, range(self.n, self.n + len(some)), strict=True))
-                self.used, self.n = self.used + len(ids), self.n + len(some)
+                self._remember(some, ids, ends)
+        if whole:
+            at = np.fromiter((self.known[x] for parts in whole.values() for x in parts), dtype=np.int64)
+            count = np.concatenate(([0], np.cumsum(np.fromiter(map(len, whole.values()), dtype=np.int64, count=len(whole)))))
+            ids, ends = self._ids(at)
+            self._remember(list(whole), ids, ends[count])
+
+    def _remember(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.n + len(keys) > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[self.n : self.n + len(keys)] = self.used + ends[:-1]
+        self.size[self.n : self.n + len(keys)] = np.diff(ends)
+        self.known.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
+        self.used, self.n = self.used + len(ids), self.n + len(keys)
+        self.held += sum(map(len, keys)) + _PIECE_BYTES * len(keys) + 4 * len(ids)
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered pieces one after the other, and where each begins and the last ends."""
+        size = self.size[at]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        return self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(int(ends[-1]))], ends
 
     def _keys(self, text: str, keys: list[str]) -> None:
         """Append the keys of a text's pieces."""
@@ -115,16 +158,14 @@ class Pieces:
 
     def _flat(self, at: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         """The ids of texts out of their pieces' places; ends: the pieces before each text, and all."""
-        size = self.size[at]
-        sums = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-        flat = self.flat[np.repeat(self.start[at] - sums[:-1], size) + np.arange(int(sums[-1]))]
+        flat, sums = self._ids(at)
         cut = sums[ends].tolist()
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, null as empty; what tokenizers gives without special tokens around a text."""
-        if self.n > CACHE:
-            self._clear()
+        if self.held > CACHE_BYTES:
+            self.clear()
         plain = [k for k, t in enumerate(texts) if t and self._plain(t)]
         other = sorted({*range(len(texts))} - {*plain})
         out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
@@ -251,8 +292,9 @@ class Bpe(Pieces):
             moved = np.cumsum(stay) - 1
             sym, word, at, hit = sym[stay], word[stay], at[stay], moved[hit]
             # only the pairs on both sides of a merged symbol are new
-            left = np.unique(np.concatenate((hit, hit - 1)))
-            left = left[(left >= 0) & (left < len(sym) - 1)]
+            near = np.zeros(len(sym) + 1, dtype=bool)
+            near[hit] = near[hit - 1] = True  # the one before the first is the last, which has no pair
+            left = np.flatnonzero(near[: len(sym) - 1])
             at[-1] = none
             pair = sym[left] << 32 | sym[left + 1]
             found = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)

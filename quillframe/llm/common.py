@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one, with its scheme; it goes when the session ends."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillframe-{uuid.uuid4().hex}")
+    path = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()
+    path = re.sub("^file:/+", "file:///", path)
+    _scratch.append((spark, path))
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -113,16 +125,56 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Edges that one task joins into a forest at once.
+FOREST = 1_000_000
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star forest with the components of the edges u, v: (node, least node of its component) for all but the least."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        a, b = up[a], up[b]
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        np.minimum.at(up, b, a)
+        while (up[up] != up).any():
+            up = up[up]
+    hung = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[hung], nodes[up[hung]]
+
+
+def forests(edges: DataFrame, n: int) -> DataFrame:
+    """u, v: edges with the same components as edges (u, v: long), fewer than nodes for each of n tasks' million."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > FOREST:
+                held = [_forest(*map(np.concatenate, zip(*held, strict=True)))]
+                if len(held[0][0]) > FOREST // 2:
+                    yield pa.record_batch([pa.array(x) for x in held.pop()], ["u", "v"])
+                size = sum(len(x) for x, _ in held)
+        if held:
+            yield pa.record_batch([pa.array(x) for x in _forest(*map(np.concatenate, zip(*held, strict=True)))], ["u", "v"])
+
+    return map_batches(edges.select("u", "v").coalesce(n), run, "u long, v long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: (node, root), root the least node.
 
-    Only nodes that stand on an edge between different nodes come back. Every
+    Nodes are longs. Only nodes that stand on an edge between different nodes
+    come back. Edges are first joined into forests, a million at a time. Every
     step deals out edges by one end and looks only at that end's least
     neighbour, an aggregate with a map-side part, so no group is gathered; the
     edge list never grows. Lineage is cut by a written table after each round.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    current, sign = table(e), None
+    e = table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"))
+    n = e.count()
+    current, sign = table(forests(e, max(1, n // FOREST))), None
+    drop_table(e)
     for _ in range(rounds):
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -48,7 +48,7 @@ def test_decode_of_any_ids(library):
 
 
 def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 500)
     own = bpe.Bpe(bpe.default_path())
     texts = ["one two three", "four five six seven", "one two"]
     assert [own.encode_batch([t])[0].tolist() for t in texts * 2] == [x.tolist() for x in bpe.load().encode_batch(texts * 2)]

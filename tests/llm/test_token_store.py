@@ -12,7 +12,7 @@ from quillframe.llm.queries import op9_token_store
 
 @pytest.mark.parametrize("values", [[], [0], [255], [256], [2**32 - 1], list(range(3000)), [2**24, 1, 2**16, 300, 7] * 700, [50256] * 1025, [0] * 512 + [70000] * 513])
 def test_codes_give_any_value(values):
-    codes = token_store.DirectCodes(token_store.DirectCodes.encode(np.array(values, dtype=np.uint32)))
+    codes = token_store.DirectCodes.of(token_store.DirectCodes.encode(np.array(values, dtype=np.uint32)))
     assert len(codes) == len(values) and codes.slice(0, len(values)).tolist() == values
     rng = random.Random(1)
     for i in rng.sample(range(len(values)), min(200, len(values))):
@@ -28,7 +28,25 @@ def test_codes_refuse_damage():
     blob = token_store.DirectCodes.encode(np.arange(1000, dtype=np.uint32))
     for bad in (b"XXXX" + blob[4:], blob + b"\0", blob[:-4]):
         with pytest.raises(ValueError):
-            token_store.DirectCodes(bad)
+            token_store.DirectCodes.of(bad)
+
+
+def test_one_token_reads_a_few_bytes_of_its_file(spark, small):
+    rows = [(i, t) for i, t, *_ in small("documents")[:40]] + [(10_000, "long text " * 20_000)]
+    store = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), partitions=2)
+    library = Tokenizer.from_file(default_path())
+    for i, t in rows[::7] + rows[-1:]:
+        ids = library.encode(t, add_special_tokens=False).ids + [2]
+        assert token_store.tokens(store, i) == ids and token_store.tokens(store, i, 3, 9) == ids[3:9] and token_store.tokens(store, i, len(ids) - 1) == [2]
+    assert token_store.tokens(store, -1) == []
+    row = store.filter("array_contains(doc_ids, 10000)").first()
+    with token_store.TokenFile(row["file"]) as file:
+        codes, read = file.block(row["at"], row["size"]), []
+        inner = codes.read
+        codes.read = lambda at, n: read.append(n) or inner(at, n)
+        place = sum(row["lengths"][: row["doc_ids"].index(10_000)]) + 5000
+        assert codes[place] == token_store.tokens(store, 10_000, 5000, 5001)[0]
+    assert sum(read) < 300 and row["size"] > 10_000
 
 
 def want(rows):
