@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.frame import Frame
+from quillframe.jobs import Jobs
 from quillframe.lang.evaluate import evaluate
 from quillframe.ml import forest as forests
 from quillframe.ml import glm as glms
@@ -25,7 +26,11 @@ Model = glms.GlmModel | clusters.KMeansModel | forests.Forest | Pmml
 
 class Engine:
     def __init__(self, spark: SparkSession):
-        self.spark, self.registry, self.models = spark, Registry(spark), {}
+        self.spark, self.registry, self.models, self.jobs = spark, Registry(spark), {}, Jobs(spark)
+
+    def background(self, verb: str, *args, **options) -> str:
+        """Begin a verb, such as "glm", beside the caller; jobs has its state, progress, result, and cancels it."""
+        return self.jobs.start(verb, lambda: getattr(self, verb)(*args, **options))
 
     # data
 
@@ -63,7 +68,9 @@ class Engine:
         return self.registry.view(like, offset, limit)
 
     def inspect(self, key: str, offset: int = 0, view: int = 100) -> tuple[DataFrame, DataFrame] | dict:
-        """A frame's summary and a page of its rows; a model's values."""
+        """A frame's summary and a page of its rows; a model's values; of a path that no key has, what a parse would make of it."""
+        if key not in self.models and key not in self.registry and "/" in key:
+            return files.inspect_path(self.spark, key)
         if key in self.models:
             return self._values(self.models[key])
         f = self.registry.get(key)

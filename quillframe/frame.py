@@ -26,33 +26,42 @@ def col(name: str) -> Column:
 def number_rows(df: DataFrame, order: Sequence[str], buckets: int = 0) -> DataFrame:
     """df with _rid, 0 to n - 1 in the order of columns.
 
-    Rows are cut into ranges of the first order column at its approximate
-    quantiles, numbered within their range, and moved up by the counts of the
+    Rows are cut into ranges at bounds that a sample of the order columns
+    gives, numbered within their range, and moved up by the counts of the
     ranges before; the driver holds a bound and a count for each range. No
-    task sorts more than a range.
+    task sorts more than a range, and a frequent value of the first columns is
+    cut by the others.
     """
-    lead = order[0]
-    kind = dict(df.dtypes)[lead]
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
-    # other kinds are ranged by a hash-free key that keeps the order: the timestamp's seconds, or the text's first bytes
-    key = col(lead).cast("double") if number or kind in ("timestamp", "date") else F.conv(F.rpad(F.hex(F.substring(col(lead).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if kind in ("date",):
-        key = F.unix_date(col(lead)).cast("double")
-    bounds = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 else None
+    kinds = dict(df.dtypes)
+    keys = [_orderable(col(c), kinds[c]).alias(f"k{i}") for i, c in enumerate(order)]
+    bounds = []
+    if n > 1:
+        sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(min(20 * n, 20_000)).orderBy(*(f"k{i}" for i in range(len(order)))).collect()
+        bounds = list(dict.fromkeys(tuple(sample[len(sample) * k // n]) for k in range(1, n))) if sample else []
     bucket = F.lit(0)
-    for b in sorted(set(bounds or [])):
-        bucket = bucket + F.when(key > b, 1).otherwise(0)
+    if bounds:
+        of = [c.dataType.simpleString() for c in df.select(*keys).schema]
+        array = F.array(*(F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, of, strict=True)))) for b in bounds))
+        # how many bounds are below the key: a binary search over one constant
+        strides = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+        bucket = F.aggregate(
+            F.array(*map(F.lit, strides)), F.lit(0),
+            lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, at + step - 1) < F.struct(*keys)), at + step).otherwise(at),
+        )
     with_bucket = df.withColumn("_bucket", bucket)
-    at, offsets = 0, {}
-    for r in with_bucket.groupBy("_bucket").count().orderBy("_bucket").collect():
-        offsets[r["_bucket"]] = at
-        at += r["count"]
-    base = F.lit(0).cast("long")
-    for k, v in offsets.items():
-        base = F.when(F.col("_bucket") == k, F.lit(v).cast("long")).otherwise(base)
+    counts = {r["_bucket"]: r["count"] for r in with_bucket.groupBy("_bucket").count().collect()}
+    offsets, at = [], 0
+    for k in range(len(bounds) + 1):
+        offsets.append(at)
+        at += counts.get(k, 0)
     w = Window.partitionBy("_bucket").orderBy(*(col(c) for c in order))
-    return with_bucket.withColumn(RID, base + F.row_number().over(w) - 1).drop("_bucket")
+    return with_bucket.withColumn(RID, F.get(F.array(*(F.lit(x).cast("long") for x in offsets)), F.col("_bucket")) + F.row_number().over(w) - 1).drop("_bucket")
+
+
+def _orderable(c: Column, kind: str) -> Column:
+    """c, or whole numbers in the same order where a constant of its type isn't safe to pass through the driver."""
+    return F.unix_micros(c) if kind == "timestamp" else F.unix_date(c) if kind == "date" else c
 
 
 @dataclass(frozen=True, eq=False)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -16,10 +18,14 @@ from pyspark.sql import functions as F
 
 from quillframe.frame import Frame
 from quillframe.functions import ieee
-from quillframe.operators.factor import domain, encode
+from quillframe.operators.factor import MAX_DOMAIN, domain, encode
 from quillframe.operators.rows import in_bag
 
 
+#: Trees that grow at the same time.
+TOGETHER = 8
+
+
 @dataclass
 class Tree:
     """Nodes in arrays; a leaf has feature -1. A row goes left if its value is at most the threshold."""
@@ -157,7 +163,7 @@ def fit(
     vectors = VectorAssembler(inputCols=[f"x{k}" for k in range(len(names))], outputCol="features").transform(df.withColumn("w", w)).select("key", "y", "w", "features").persist()
     per_split = features or max(1, int(len(names) ** 0.5))
     try:
-        for n in range(ntree):
+        def grow(n: int) -> tuple[Tree, int]:
             bag_seed = (seed + n * 7919) % (1 << 31)
             bag = in_bag(F.col("key"), sample / 100, bag_seed)
             for c, share in (strata or {}).items():
@@ -166,8 +172,13 @@ def fit(
                 labelCol="y", featuresCol="features", weightCol="w", numTrees=1, bootstrap=False, subsamplingRate=1.0, impurity="gini" if gini else "entropy",
                 maxBins=max(2, bin_limit), maxDepth=min(30, depth), featureSubsetStrategy=str(min(per_split, len(names))), seed=bag_seed,
             )
-            forest.trees.append(Tree.from_debug_string(rf.fit(vectors.filter(bag)).trees[0].toDebugString))
-            forest.seeds.append(bag_seed)
+            return Tree.from_debug_string(rf.fit(vectors.filter(bag)).trees[0].toDebugString), bag_seed
+
+        # bags don't depend on each other: several trees grow at a time, so that the cluster isn't idle between levels
+        with ThreadPoolExecutor(max(1, min(TOGETHER, ntree))) as pool:
+            for tree, bag_seed in pool.map(inheritable_thread_target(df.sparkSession)(grow), range(ntree)):
+                forest.trees.append(tree)
+                forest.seeds.append(bag_seed)
     finally:
         vectors.unpersist()
     return forest
@@ -176,7 +187,9 @@ def fit(
 def _classes(f: Frame, response: str) -> list[str]:
     if dict(f.df.dtypes)[response] in ("int", "bigint", "smallint", "tinyint"):
         # whole numbers keep their own order
-        found = f.rows.df.select(f.columns[response].alias("c")).filter("c is not null").distinct().limit(65_536).collect()
+        found = f.rows.df.select(f.columns[response].alias("c")).filter("c is not null").distinct().limit(MAX_DOMAIN + 1).collect()
+        if len(found) > MAX_DOMAIN:
+            raise ValueError(f"more than {MAX_DOMAIN} classes")
         return [str(v) for v in sorted(r["c"] for r in found)]
     return domain(f.rows.df, f.columns[response])
 

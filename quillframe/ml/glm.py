@@ -158,38 +158,41 @@ def fit(
     beta, done, steps = (start if start is not None else np.zeros(p + 1)), False, 0
     solve = SOLVERS[solver]
     first = start is None
-    for steps in range(1, (1 if family == "gaussian" and link == "identity" else max_iter) + 1):  # noqa: B007
-        if family == "gaussian" and link == "identity":
-            target, weights = F.col("y"), F.col("w")
-        else:
-            if first:
-                # the usual start: a mean near y itself
-                m = {"binomial": (F.col("y") + 0.5) / 2, "poisson": F.col("y") + 0.1, "gamma": F.greatest(F.col("y"), F.lit(1e-6))}.get(family, F.col("y"))
-                eta = LINKS[link][0](m)
+    one_step = family == "gaussian" and link == "identity"
+    if not one_step:
+        base = base.persist()
+    try:
+        for steps in range(1, (1 if one_step else max_iter) + 1):  # noqa: B007
+            if one_step:
+                target, weights = F.col("y"), F.col("w")
             else:
-                eta = F.lit(float(beta[-1]))
-                for b, c in zip(beta, z, strict=False):
-                    eta = eta + F.lit(float(b)) * c
-                m = inverse(eta)
-            d = slope(eta)
-            target, weights = eta + (F.col("y") - m) / d, F.col("w") * d * d / _variance(family, m)
-        r = stats.gram(base, z, target, weights).first()
-        if not r["n"]:
-            raise ValueError("no row without missing values")
-        xx = np.zeros((p + 1, p + 1))
-        for i in range(p + 1):
-            for j in range(i, p + 1):
-                xx[i, j] = xx[j, i] = r[f"xx_{i}_{j}"] / r["n"]
-        xy = np.array([r[f"xy_{i}"] for i in range(p + 1)]) / r["n"]
-        try:
-            new = solve(xx, xy, lam, alpha)
-        except np.linalg.LinAlgError:
-            new = generalized_gradient(xx, xy, lam, alpha)
-        moved = float(np.abs(new - beta).max()) if not first else math.inf
-        beta, first = new, False
-        if moved <= beta_eps or family == "gaussian" and link == "identity":
-            done = True
-            break
+                if first:
+                    # the usual start: a mean near y itself
+                    m = {"binomial": (F.col("y") + 0.5) / 2, "poisson": F.col("y") + 0.1, "gamma": F.greatest(F.col("y"), F.lit(1e-6))}.get(family, F.col("y"))
+                    eta = LINKS[link][0](m)
+                else:
+                    eta = F.lit(float(beta[-1]))
+                    for b, c in zip(beta, z, strict=False):
+                        eta = eta + F.lit(float(b)) * c
+                    m = inverse(eta)
+                d = slope(eta)
+                target, weights = eta + (F.col("y") - m) / d, F.col("w") * d * d / _variance(family, m)
+            n, xx, xy = stats.moments(base, z, target, weights)
+            if not n:
+                raise ValueError("no row without missing values")
+            xx, xy = xx / n, xy / n
+            try:
+                new = solve(xx, xy, lam, alpha)
+            except np.linalg.LinAlgError:
+                new = generalized_gradient(xx, xy, lam, alpha)
+            moved = float(np.abs(new - beta).max()) if not first else math.inf
+            beta, first = new, False
+            if moved <= beta_eps or one_step:
+                done = True
+                break
+    finally:
+        if not one_step:
+            base.unpersist()
     raw = beta[:-1] / scale
     model = replace(shell, beta=[*map(float, raw), float(beta[-1] - (raw * mean).sum())], iterations=steps, converged=done)
     model.validation = validate(model, f, thresholds, case, metric)

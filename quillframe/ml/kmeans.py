@@ -90,7 +90,8 @@ def fit(f: Frame, k: int, columns: Sequence[str] | None = None, epsilon: float =
                 break
             chance = F.least(F.lit(1.0), d * F.lit(3.0 * k / total))
             draw = F.pmod(F.xxhash64(*zs, F.lit(seed + 1 + n)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            found += [list(x) for x in df.filter(draw < chance).distinct().limit(12 * k).collect()]
+            # the chances add up to 3 k at most, so that is how many rows come, about
+            found += sorted(list(x) for x in df.filter(draw < chance).distinct().collect())
         counts = {x["c"]: x["count"] for x in df.select(nearest(xs, found).alias("c")).groupBy("c").count().collect()}
         used = sorted(counts)
         centres = _recluster(np.array([found[c] for c in used]), np.array([counts[c] for c in used], dtype=float), k)

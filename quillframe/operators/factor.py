@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +24,24 @@ def domain(df: DataFrame, c: Column) -> list[str]:
 
 
 def encode(c: Column, values: list[str]) -> Column:
-    """The code of a string: its place among values; NULL if it isn't one of them. The limit on values bounds the constant."""
+    """The code of a string: its place among values; NULL if it isn't one of them.
+
+    The limit on values bounds the constant. Many values lie in buckets by
+    their checksum, so that a lookup compares a few of them only.
+    """
     if not values:
         return F.lit(None).cast("double")
-    array = F.array(*(F.lit(v) for v in values)) if len(values) <= 64 else F.from_json(F.lit(_json(values)), "array<string>")
-    return F.nullif(F.array_position(array, c.cast("string")), F.lit(0).cast("bigint")).cast("double") - 1
-
-
-def _json(values: list[str]) -> str:
-    import json
-
-    return json.dumps(values)
+    s = c.cast("string")
+    if len(values) <= 64:
+        return F.nullif(F.array_position(F.array(*(F.lit(v) for v in values)), s), F.lit(0).cast("bigint")).cast("double") - 1
+    buckets: list[tuple[list[str], list[int]]] = [([], []) for _ in range(len(values) // 2)]
+    for k, v in enumerate(values):
+        names, codes = buckets[zlib.crc32(v.encode()) % len(buckets)]
+        names.append(v)
+        codes.append(k)
+    table = F.from_json(F.lit(json.dumps([{"v": v, "c": k} for v, k in buckets])), "array<struct<v: array<string>, c: array<double>>>")
+    one = F.get(table, F.pmod(F.crc32(s.cast("binary")), F.lit(len(buckets))).cast("int"))
+    return F.get(one["c"], (F.array_position(one["v"], s) - 1).cast("int"))
 
 
 def encode_by_join(df: DataFrame, name: str, out: str) -> DataFrame:
@@ -53,9 +63,12 @@ def factor(v: Vec) -> Vec:
 
 def one_hot(f: Frame, name: str) -> Frame:
     """A 0/1 column name.value for every value of a categorical, none left out."""
-    v = f.vec(name) if f.domains.get(name) else factor(f.vec(name))
+    v = f.vec(name)
+    # strings are compared themselves, codes where the column has a domain already
+    values = v.domain or domain(f.rows.df, v.expr)
+    x = v.expr if v.domain else v.expr.cast("string")
     columns = {c: e for c, e in f.columns.items() if c != name}
-    columns |= {f"{name}.{s}": F.when(v.expr.isNull(), None).otherwise((v.expr == k).cast("double")) for k, s in enumerate(v.domain)}
+    columns |= {f"{name}.{s}": (x == (k if v.domain else s)).cast("double") for k, s in enumerate(values)}
     return Frame(f.rows, columns, {c: d for c, d in f.domains.items() if c != name})
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillframe.frame import RID, Frame, Rows, Vec, align
 from quillframe.functions import ieee
 
-#: Above so many rows the exact-size sample finds its threshold by a histogram of hashes.
-_HASH_BITS = 20
+#: Rows of an exact-size sample's last bucket that are ordered at once.
+_ORDERED = 100_000
 
 
 def keeps(bits: Column) -> Column:
@@ -46,22 +47,31 @@ def exact_sample(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:
     """Exactly n rows (all, if there are fewer), those with the least hash of a unique key and seed.
 
     A histogram of the hashes' upper bits finds the one bucket that is taken
-    in part; only its rows are ordered.
+    in part, and further ones of the bits below cut it until few rows are
+    left; only those are ordered.
     """
-    h = F.xxhash64(key, F.lit(seed))
-    with_hash = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned(h, 64 - _HASH_BITS))
-    w = Window.orderBy("_b")
-    counts = with_hash.groupBy(F.shiftright("_b", _HASH_BITS - 10).alias("_b")).count()  # at most 1024 rows
-    at = counts.select("_b", "count", F.sum("count").over(w).alias("upto")).filter(F.col("upto") >= n).orderBy("_b").limit(1).collect()
     if n <= 0:
         return df.limit(0)
-    if not at:
-        return df
-    coarse, before = at[0]["_b"], at[0]["upto"] - at[0]["count"]
-    top = F.shiftright(F.col("_b"), _HASH_BITS - 10)
-    cut = with_hash.filter(top == coarse)
-    part = cut.orderBy("_h", key).limit(n - before)
-    return with_hash.filter(top < coarse).unionByName(part).drop("_h", "_b")
+    h = F.xxhash64(key, F.lit(seed))
+    with_hash = df.withColumn("_h", h)
+
+    def top(bits: int) -> Column:
+        return F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long")
+
+    bits, prefix, before = 0, 0, 0
+    while bits < 60:
+        counts = with_hash.filter(top(bits) == prefix).groupBy(top(bits + 10).alias("b")).count().collect()  # at most 1024 rows
+        for r in sorted(counts):
+            if before + r["count"] >= n:
+                break
+            before += r["count"]
+        else:
+            return df  # fewer rows than asked for; that shows in the first histogram
+        bits, prefix = bits + 10, r["b"]
+        if r["count"] <= _ORDERED:
+            break
+    part = with_hash.filter(top(bits) == prefix).orderBy("_h", key).limit(n - before)
+    return with_hash.filter(top(bits) < prefix).unionByName(part).drop("_h")
 
 
 def random_rows(f: Frame, n: int, seed: int = 0) -> Frame:
@@ -89,17 +99,56 @@ def fold(f: Frame, k: int, which: int, complement: bool = False) -> Frame:
     return Frame(Rows(f.rows.numbered.filter(rid if complement else ~rid), f.rows.order), f.columns, f.domains)
 
 
+def uniform(key: Column, seed: int) -> Column:
+    """A number in [0, 1) for a key and a seed: the first 52 bits of a digest of both as text, so that any engine can repeat it."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def bernoulli(df: DataFrame, key: Column, rate: float, seed: int) -> DataFrame:
-    """Each row with probability rate, decided by a hash of its key and seed: a run can be repeated."""
-    return df.filter(in_bag(key, rate, seed))
+    """Each row with probability rate, decided by its key and seed: a run can be repeated."""
+    return df.filter(uniform(key, seed) < rate)
 
 
 def in_bag(key: Column, rate: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(rate * (1 << 30))
 
 
-def with_replacement(df: DataFrame, rate: float, seed: int) -> DataFrame:
-    return df.sample(withReplacement=True, fraction=rate, seed=seed)
+def poisson_steps(rate: float) -> list[float]:
+    """Where the count of a Poisson variable goes up by one as its uniform number grows."""
+    p = total = math.exp(-rate)
+    out = []
+    for k in range(1, 60):
+        out.append(total)
+        p *= rate / k
+        if total + p == total:
+            break
+        total += p
+    return out
+
+
+def _times(df: DataFrame, n: Column) -> DataFrame:
+    """Every row as often as n says."""
+    often = df.withColumn("_n", n).filter("_n > 0")
+    return often.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_k")
+
+
+def _drawn(key: Column, rate: float, seed: int) -> Column:
+    u = uniform(key, seed)
+    return F.size(F.filter(F.array(*map(F.lit, poisson_steps(rate))), lambda c: u >= c))
+
+
+def with_replacement(df: DataFrame, key: Column, rate: float, seed: int) -> DataFrame:
+    """Each row as often as a Poisson variable of mean rate says, which its key and seed decide: draws with replacement whose size is near rate times the rows."""
+    return _times(df, _drawn(key, rate, seed))
+
+
+def stratified_with_replacement(df: DataFrame, label: Column, rates: dict, key: Column, seed: int = 0) -> DataFrame:
+    """with_replacement() at a rate of its own for each class; other classes give no rows."""
+    n = F.lit(0)
+    for c, rate in rates.items():
+        n = F.when(label == c, _drawn(key, rate, seed)).otherwise(n)
+    return _times(df, n)
 
 
 def stratified(df: DataFrame, label: Column, sizes: dict, key: Column, seed: int = 0) -> DataFrame:

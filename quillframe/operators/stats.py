@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +104,38 @@ def confusion(df: DataFrame, actual: Column, predicted: Column) -> DataFrame:
     return c.groupBy("actual", "predicted").agg(F.count("*").alias("count"))
 
 
+#: Columns up to which the sums of products are one aggregate of built-in functions; more outgrow a generated method.
+_FEW = 12
+
+
+def moments(df: DataFrame, xs: Sequence[Column], y: Column, w: Column | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """n, and the weighted sums xx and xy of gram() as arrays on the driver.
+
+    Many columns are multiplied batch by batch; a task gives one matrix, and
+    those are added up entry by entry before the driver sees the sum.
+    """
+    p = len(xs) + 1
+    if p <= _FEW:
+        r = gram(df, xs, y, w).first()
+        xx = np.array([[r[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], dtype=float)
+        return r["n"], xx, np.array([r[f"xy_{i}"] for i in range(p)], dtype=float)
+    named = df.select(
+        *(ieee.dbl(x).alias(f"x{k}") for k, x in enumerate(xs)), F.lit(1.0).alias(f"x{p - 1}"), ieee.dbl(y).alias("y"), (ieee.dbl(w) if w is not None else F.lit(1.0)).alias("w")
+    ).na.drop()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((p, p + 1)), 0
+        for b in batches:
+            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[: p + 1]])
+            total += (z[:, :p] * b.columns[p + 1].to_numpy(zero_copy_only=False)[:, None]).T @ z
+            n += b.num_rows
+        yield pa.record_batch([pa.array(np.arange(total.size + 1)), pa.array(np.append(total.ravel(), float(n)))], ["k", "v"])
+
+    sums = {r["k"]: r["v"] for r in named.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    found = np.array([sums.get(k, 0.0) for k in range(p * (p + 1))]).reshape(p, p + 1)
+    return int(sums.get(p * (p + 1), 0)), found[:, :p], found[:, p]
+
+
 def gram(df: DataFrame, xs: Sequence[Column], y: Column, w: Column | None = None) -> DataFrame:
     """One row: n, and the weighted sums xx_i_j (i <= j), xy_i, yy over rows without missing values; the last x is 1."""
     cols = [*(ieee.dbl(x) for x in xs), F.lit(1.0)]

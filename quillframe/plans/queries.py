@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,8 @@ from quillframe.ml.arguments import Case
 from quillframe.operators import aggregate, factor, rows, stats, summary
 from quillframe.registry import Registry
 from quillframe.score.pmml import Pmml
+from quillframe.shared import new_path, write_bytes
+from quillframe.sources.files import import_path, read_delimited
 from quillframe.sources.infer import infer, project
 
 #: What orders each table: unique together.
@@ -120,16 +125,15 @@ def filter_truncates_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(tables(spark, sf_dir, "orders"), "filter(orders, orders$o_totalprice / 250000)").df.select("o_orderkey")
 
 
-@query("""with a as (select *, row_number() over (order by o_orderkey) - 1 as r from orders),
-b as (select *, row_number() over (order by event_id) - 1 as r from events)
-select o_orderkey from a join (select r, value, event_id from b where r < (select count(*) from a)) b using (r) where value > 50""")
+@query("""with a as (select o_orderkey, row_number() over (order by o_orderkey) as r from orders),
+b as (select o_totalprice, row_number() over (order by o_custkey, o_orderkey) as r from orders)
+select o_orderkey from a join b using (r) where o_totalprice > 150000""")
 def filter_by_other_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reg = tables(spark, sf_dir, "orders", "events")
-    n, m = len(reg.get("orders")), len(reg.get("events"))
-    k = min(n, m)
-    left, bits = rows.slice_rows(reg.get("orders"), 0, k), rows.slice_rows(reg.get("events"), 0, k)
-    value = Vec(bits.rows, ieee.gt(bits.columns["value"], F.lit(50.0)))
-    return rows.filter_rows(left, value).df.select("o_orderkey")
+    """All orders by the bits of another frame as long as theirs: the orders by customer, whose rows stand elsewhere."""
+    reg = tables(spark, sf_dir, "orders")
+    other = reg.put_df("by_customer", spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_custkey", "o_orderkey"])
+    bits = Vec(other.rows, ieee.gt(other.columns["o_totalprice"], F.lit(150_000.0)))
+    return rows.filter_rows(reg.get("orders"), bits).df.select("o_orderkey")
 
 
 @query("""select o_orderkey, o_custkey, o_orderstatus, case when o_custkey = 2 then 54321.0::double else o_totalprice * 2.0::double end as o_totalprice, o_orderdate, o_orderpriority from orders""")
@@ -300,14 +304,28 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.stratified(df, F.col("o_orderstatus"), {"F": 40, "O": 25, "P": 7}, F.col("o_orderkey"), 7).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query()
+#: The uniform number of rows.uniform() for a key and a seed, in SQL.
+_UNIFORM = "(('0x' || substr(md5('{seed}:' || cast({key} as varchar)), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+@query(f"select * from orders where {_UNIFORM.format(seed=1, key='o_orderkey')} < 0.67")
 def bernoulli_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.bernoulli(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey"), 0.67, 1)
 
 
-@query()
+@query(f"""with u as (select *, {_UNIFORM.format(seed=1, key='o_orderkey')} as u from orders),
+n as (select *, len(list_filter({rows.poisson_steps(0.67)}, lambda c: u >= c)) as n from u)
+select * exclude (u, n, k) from (select *, unnest(range(n)) as k from n)""")
 def sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.with_replacement(spark.read.parquet(f"{sf_dir}/orders.parquet"), 0.67, 1)
+    return rows.with_replacement(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey"), 0.67, 1)
+
+
+@query(f"""with u as (select o_orderkey, o_orderstatus, {_UNIFORM.format(seed=7, key='o_orderkey')} as u from orders),
+n as (select *, case o_orderstatus when 'F' then len(list_filter({rows.poisson_steps(0.5)}, lambda c: u >= c)) when 'P' then len(list_filter({rows.poisson_steps(2.0)}, lambda c: u >= c)) else 0 end as n from u)
+select o_orderkey, o_orderstatus from (select *, unnest(range(n)) as k from n)""")
+def stratified_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    return rows.stratified_with_replacement(df, F.col("o_orderstatus"), {"F": 0.5, "P": 2.0}, F.col("o_orderkey"), 7)
 
 
 @query("select 'Intercept' as term, round(regr_intercept(l_extendedprice, l_quantity), 4) as beta from lineitem union all select 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4) from lineitem")
@@ -457,3 +475,104 @@ def binning(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = factor.bin_edges(df, F.col("l_linenumber"))
     edge = F.array(*(F.lit(e) for e in edges))
     return df.select(F.array_min(F.filter(edge, lambda e: e >= F.col("l_linenumber"))).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+
+
+def _written(lines: DataFrame, **options) -> str:
+    """A folder of text files with the lines of df (value)."""
+    path = new_path(lines.sparkSession)
+    lines.write.options(**options).text(path)
+    return path
+
+
+@query("select o_orderkey, o_totalprice, o_orderstatus, o_custkey from orders")
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a header each, as a table is exported."""
+    path = new_path(spark)
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    df.repartition(3, "o_orderkey").write.option("header", True).csv(path)
+    return read_delimited(spark, path).df
+
+
+@query("""select row_number() over (order by c_custkey) - 1 as _rid, c_custkey, c_name || '; "' || c_mktsegment || '"' as name, c_acctbal from customer""")
+def csv_quotes_and_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted fields with separators and quotes inside; rows keep the files' and lines' order."""
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+    lines = df.select(F.format_string('%d;"%s; ""%s""";%s', "c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("string")).alias("value"))
+    f = read_delimited(spark, _written(lines), header=False)
+    return f.with_rid.select("_rid", F.col("0").alias("c_custkey"), F.col("1").alias("name"), F.col("2").alias("c_acctbal"))
+
+
+@query("""select p_partkey, p_size, case when p_partkey % 3 = 0 or p_partkey % 5 = 0 then null else p_retailprice end as p_retailprice from part""")
+def csv_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short rows, surplus and empty fields, blank lines, carriage returns, and comments before the header."""
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").coalesce(1).sortWithinPartitions("p_partkey")
+    end = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 5 == 0, "|").otherwise(F.concat(F.lit("|"), F.col("p_retailprice").cast("string"), F.when(F.col("p_partkey") % 7 == 0, "|surplus").otherwise("")))
+    body = df.select(F.concat(F.col("p_partkey").cast("string"), F.lit("|"), F.col("p_size").cast("string"), end, F.lit("\r")).alias("value"))
+    top = spark.createDataFrame([("# a 'note\r",), ("@relation\r",), ("p_partkey|p_size|p_retailprice\r",), ("-1|0|0.5\r",), ("\r",)], "value string").coalesce(1)
+    lines = top.unionByName(body).coalesce(1)
+    return read_delimited(spark, _written(lines), separator="|").df.filter("p_partkey >= 0")
+
+
+@query("""select event_id, ts_text as ts, case when event_id % 4 = 0 then null else value end as value from (select *, date_trunc('second', ts) as ts_text from events)""")
+def csv_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times, and numbers with strays below the share at which a column is given up; tabs separate."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value = F.when(F.col("event_id") % 8 == 0, "?").when(F.col("event_id") % 4 == 0, "").otherwise(F.col("value").cast("string"))
+    lines = df.select(F.concat_ws("\t", F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), value).alias("value"))
+    return read_delimited(spark, _written(lines), header=False, separator="\t").df.select(F.col("0").alias("event_id"), F.col("1").alias("ts"), F.col("2").alias("value"))
+
+
+@query("select s_suppkey, null::double as tossed, s_acctbal from supplier")
+def csv_bad_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A numeric column of which half the values are no numbers is given up."""
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    lines = df.select(F.concat_ws(",", F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise("17"), F.col("s_acctbal").cast("string")).alias("value"))
+    f = read_delimited(spark, _written(lines), header=False)
+    return f.df.select(F.col("0").alias("s_suppkey"), F.col("1").alias("tossed"), F.col("2").alias("s_acctbal"))
+
+
+@query("select c_custkey, c_nationkey, c_acctbal from customer")
+def gzip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed text with runs of blanks between its fields."""
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    lines = df.select(F.format_string(" %d   %d  %s", "c_custkey", "c_nationkey", F.col("c_acctbal").cast("string")).alias("value"))
+    f = import_path(spark, _written(lines, compression="gzip"), header=False)
+    return f.df.select(*(F.col(str(k)).alias(c) for k, c in enumerate(("c_custkey", "c_nationkey", "c_acctbal"))))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> list:
+    """The nations, of which there are 25 whatever the scale."""
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "n_nationkey,n_name,n_regionkey\n" + "".join(f"{r['n_nationkey']},'{r['n_name']}',{r['n_regionkey']}\n" for r in _nations(spark, sf_dir))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("nations.csv", text)
+    write_bytes(spark, path := f"{new_path(spark)}/nations.zip", buf.getvalue())
+    return import_path(spark, path).df
+
+
+@query("select row_number() over (order by n_nationkey) - 1 as _rid, n_nationkey, n_name, n_regionkey from nation")
+def xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of two sheets, numbers in cells, names in them or shared."""
+    found = _nations(spark, sf_dir)
+    name = lambda k, r: f'<c r="B{k}" t="s"><v>{r["n_nationkey"]}</v></c>' if r["n_nationkey"] % 2 else f'<c r="B{k}" t="inlineStr"><is><t>{r["n_name"]}</t></is></c>'
+    row = lambda k, r: f'<row r="{k}"><c r="A{k}"><v>{r["n_nationkey"]}</v></c>{name(k, r)}<c r="C{k}"><v>{r["n_regionkey"]}</v></c></row>'
+    head = '<row r="1">' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{n}</t></is></c>' for c, n in zip("ABC", ("n_nationkey", "n_name", "n_regionkey"), strict=True)) + "</row>"
+    sheet = '<worksheet xmlns="x"><sheetData>{}</sheetData></worksheet>'
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="x">' + "".join(f"<si><t>{r['n_name']}</t></si>" for r in found) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet.format(head + "".join(row(k, r) for k, r in enumerate(found[:10], 2))))
+        z.writestr("xl/worksheets/sheet2.xml", sheet.format("".join(row(k, r) for k, r in enumerate(found[10:], 1))))
+    write_bytes(spark, path := f"{new_path(spark)}/nations.xlsx", buf.getvalue())
+    return import_path(spark, path).with_rid
+
+
+@query("select * from orders")
+def parquet_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_path(spark, f"{sf_dir}/orders.parquet").df

@@ -153,11 +153,16 @@ class Pmml:
         return out
 
     def _vote(self, inputs: Inputs) -> Column:
-        votes = F.filter(self.votes(inputs), lambda v: v.isNotNull())
-        names = F.array_sort(F.array_distinct(votes))
-        count = lambda n: F.size(F.filter(votes, lambda v: v == n))
-        most = F.array_max(F.transform(names, count))
-        return F.get(F.filter(names, lambda n: count(n) == most), F.lit(0))
+        names = F.array(*(F.lit(n) for n in sorted({e.get("score") for t in self.trees for e in t.iter() if _tag(e) == "Node"} - {None})))
+
+        def best(votes: Column) -> Column:
+            """The class with most votes, the first of equals, NULL without votes."""
+            counted = F.transform(names, lambda n, k: F.struct(F.size(F.filter(votes, lambda v: v.eqNullSafe(n))).alias("n"), (-k).alias("k"), n.alias("name")))
+            top = F.array_max(counted)
+            return F.when(top["n"] > 0, top["name"])
+
+        # bound as a lambda's argument, the trees are evaluated once a row
+        return F.get(F.transform(F.array(self.votes(inputs)), best), F.lit(0))
 
 
 def load(path: str) -> Pmml:

@@ -36,8 +36,12 @@ def time_of(c: Column) -> Column:
     return F.when(t.rlike(_TIME) & (F.substring(t, 1, 4).try_cast("int") >= 1970), F.try_to_timestamp(t))
 
 
-def infer(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
-    """int, float, time, enum, none (nothing but missing values) or bad (given up) for each text column."""
+def infer(df: DataFrame, names: Sequence[str], give_up_wide: bool = False) -> dict[str, str]:
+    """int, float, time, enum, none (nothing but missing values) or bad (given up) for each text column.
+
+    Text of more distinct values than a domain may have is kept as text, or
+    given up if give_up_wide says so.
+    """
     aggs = []
     for i, n in enumerate(names):
         t = text_of(col(n))
@@ -57,7 +61,7 @@ def infer(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
         elif num:
             out[n] = "bad" if text > MAX_BAD * (num + text) else "int" if r[f"whole{i}"] == num else "float"
         elif text:
-            wide = near > 0.9 * MAX_DOMAIN and df.select(text_of(col(n))).distinct().limit(MAX_DOMAIN + 2).count() > MAX_DOMAIN
+            wide = give_up_wide and near > 0.9 * MAX_DOMAIN and df.select(text_of(col(n))).distinct().limit(MAX_DOMAIN + 2).count() > MAX_DOMAIN
             out[n] = "bad" if wide else "enum"
         else:
             out[n] = "none"

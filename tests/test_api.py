@@ -57,3 +57,28 @@ def test_scorecard(engine):
     engine.import_pmml(SCORECARD, "card")
     assert engine.score_row("card", {"quantity": 20.0, "flag": "R", "tax": 0.05}) == 15.75
     assert engine.score_row("card", {"quantity": None, "flag": "N", "tax": 0.0}) == 4.0 and engine.inspect("card") == {"kind": "pmml"}
+
+
+def test_jobs(engine):
+    key = engine.background("linear_regression", "t", "a", "b")
+    assert engine.jobs.result(key, 120).first()["rows"] == 60
+    assert engine.jobs.list()[0] | {"start": 0} == {"key": key, "description": "linear_regression", "start": 0, "state": "done", "progress": 1.0}
+    bad = engine.background("linear_regression", "nosuch", "a", "b")
+    with pytest.raises(KeyError):
+        engine.jobs.result(bad, 60)
+    slow = engine.jobs.start("slow", lambda: engine.spark.range(0, 10**13, 1, 4).selectExpr("sum(id * id % 7)").collect())
+    while not engine.spark.sparkContext.statusTracker().getJobIdsForGroup(slow):
+        pass
+    assert engine.jobs.progress(slow) < 1
+    with pytest.raises(ValueError):
+        engine.jobs.remove(slow)
+    engine.jobs.cancel(slow)
+    with pytest.raises(Exception):  # noqa: B017  Spark's own error
+        engine.jobs.result(slow, 120)
+    assert [x["state"] for x in engine.jobs.list()] == ["failed", "failed", "done"]
+    engine.jobs.remove(slow)
+    assert len(engine.jobs.list()) == 2
+
+
+def test_inspect_of_a_path(engine, tmp_path):
+    assert engine.inspect(str(tmp_path / "t.csv"))["names"] == ["id", "a", "b", "flag"]

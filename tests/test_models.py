@@ -122,3 +122,10 @@ def test_majority_vote(spark):
     df = spark.createDataFrame([(1, 2), (1, 2), (1, 0), (2, 1), (2, 0)], "r long, p int")
     assert {tuple(r) for r in forest.majority_vote(df, "r", "p").collect()} == {(1, 2), (2, 0)}
     assert df.filter(F.lit(False)).count() == 0
+
+
+def test_too_many_classes_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(forest, "MAX_DOMAIN", 5)
+    f = Frame.of(spark.range(20).selectExpr("id", "id % 6 as y", "id * 2 as x"), "id")
+    with pytest.raises(ValueError):
+        forest.fit(f, "y", ["x"], ntree=1)

@@ -6,7 +6,9 @@ import zipfile
 
 import pytest
 
-from quillframe.sources.files import compression, import_path, read_delimited, read_xlsx
+from quillframe.shared import shared_dir
+from quillframe.sources.files import compression, import_path, import_url, inspect_path, read_delimited, read_xlsx
+from quillframe.sources.infer import infer
 from quillframe.sources.sniff import sniff, tokenize
 
 
@@ -98,3 +100,47 @@ def test_parquet_and_export(spark, tmp_path):
     reg.put_vector("v", [1.0, 2.0])
     reg.export("v", str(tmp_path / "out"))
     assert sorted(rows(import_path(spark, str(tmp_path / "out")))) == [(1.0,), (2.0,)]
+
+
+def test_files_keep_their_order_and_only_leading_lines_go(spark, tmp_path):
+    """Files by name, whatever their sizes; the header's words and comment marks further down are data."""
+    d = tmp_path / "d"
+    d.mkdir()
+    (d / "a.csv").write_text("#x\nname,n\nu,1\n#v,2\nname,3\n")
+    (d / "b.csv").write_text("name,n\n" + "".join(f"w{k},{k}\n" for k in range(10, 3000)))
+    (d / "c.csv").write_text("z,5\n")
+    got = rows(read_delimited(spark, str(d), header=True, separator=","))
+    assert got[:3] == [("u", 1), ("#v", 2), ("name", None)] or got[:3] == [("u", 1), ("#v", 2), ("name", 3)]
+    assert got[3:5] == [("w10", 10), ("w11", 11)] and got[-1] == ("z", 5) and len(got) == 3 + 2990 + 1
+
+
+def test_wide_text_is_kept_unless_given_up(spark):
+    df = spark.range(70_000).selectExpr("concat('t', id) as a")
+    assert infer(df, ["a"]) == {"a": "enum"} and infer(df, ["a"], give_up_wide=True) == {"a": "bad"}
+
+
+def test_inspect_of_unparsed_data(spark, tmp_path):
+    p = tmp_path / "u.csv"
+    p.write_text("# c\na;b\n" + "1;2\n" * 50_000)
+    i = inspect_path(spark, str(p))
+    assert (i["separator"], i["header"], i["names"], i["rows"][0], i["compression"]) == (";", True, ["a", "b"], ["1", "2"], "none") and abs(i["about_rows"] - 50_000) < 500
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("x", "a")
+    assert inspect_path(spark, str(tmp_path / "z.zip"))["compression"] == "zip"
+
+
+def test_url(spark, tmp_path):
+    (tmp_path / "v.csv").write_text("a,b\n1,x\n2,y\n")
+    assert rows(import_url(spark, f"file://{tmp_path}/v.csv")) == [(1, "x"), (2, "y")]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda k, d: None)
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster)

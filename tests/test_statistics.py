@@ -86,3 +86,46 @@ def test_arguments(frame):
     assert Case.parse(">=3") == Case(">=", "3") and default_case(frame, "c") == Case("=", "z") and default_case(frame, "id").op == ">"
     with pytest.raises(KeyError):
         columns(frame, "nosuch")
+
+
+def test_row_numbers_of_equal_beginnings_nulls_and_times(spark):
+    """A prefix that all texts share, repeated first columns and nulls don't stop rows from being cut into ranges."""
+    df = spark.range(500).select(F.when(F.col("id") % 50 != 0, F.concat(F.lit("prefix-prefix-"), (F.col("id") % 7).cast("string"))).alias("t"), F.timestamp_seconds(F.col("id") % 3).alias("ts"), "id")
+    got = number_rows(df, ["t", "ts", "id"], 16).orderBy("_rid").collect()
+    want = sorted(df.collect(), key=lambda r: (r["t"] is not None, r["t"] or "", r["ts"], r["id"]))
+    assert [r["_rid"] for r in got] == list(range(500)) and [r["id"] for r in got] == [r["id"] for r in want]
+    assert number_rows(df.limit(0), ["id"], 4).count() == 0 and number_rows(df, ["id"], 1).agg(F.max("_rid")).first()[0] == 499
+
+
+def test_exact_sample_goes_down_to_few_rows(spark, monkeypatch):
+    df = spark.range(3000)
+    for ordered in (rows._ORDERED, 1):
+        monkeypatch.setattr(rows, "_ORDERED", ordered)
+        found = [{r["id"] for r in rows.exact_sample(df, F.col("id"), n, 3).collect()} for n in (1, 700, 2999, 3000)]
+        assert [len(x) for x in found] == [1, 700, 2999, 3000] and found[0] < found[1] < found[2]
+
+
+def test_samples_with_replacement(spark):
+    df = spark.range(20_000)
+    counts = {r["id"]: r["count"] for r in rows.with_replacement(df, F.col("id"), 0.67, 5).groupBy("id").count().collect()}
+    assert abs(sum(counts.values()) - 13_400) < 400 and max(counts.values()) > 3
+    some = rows.stratified_with_replacement(df, F.col("id") % 2, {0: 2.0}, F.col("id"), 5)
+    assert abs(some.count() - 20_000) < 600 and some.filter("id % 2 = 1").isEmpty()
+
+
+def test_codes_of_many_values(spark):
+    values = [f"v{k:05d}é" for k in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values[::97]] + [(None,), ("other",)], "s string")
+    got = {r["s"]: r["c"] for r in df.select("s", factor.encode(F.col("s"), values).alias("c")).collect()}
+    assert got.pop(None) is None and got.pop("other") is None and got == {v: float(k) for k, v in enumerate(values) if k % 97 == 0}
+
+
+def test_moments_of_many_columns_are_those_of_few(spark):
+    df = spark.range(300).select(*(F.when(F.col("id") % 41 != k, F.rand(k) * k + F.col("id") % (k + 2)).alias(f"x{k}") for k in range(15)), (F.col("id") * 0.5).alias("y"), (F.col("id") % 3).alias("w")).persist()
+    xs = [F.col(f"x{k}") for k in range(15)]
+    n, xx, xy = stats.moments(df, xs, F.col("y"), F.col("w"))
+    r = stats.gram(df, xs, F.col("y"), F.col("w")).first()
+    assert n == r["n"] and xx[3, 7] == pytest.approx(r["xx_3_7"]) == pytest.approx(xx[7, 3]) and xy[15] == pytest.approx(r["xy_15"]) and xx[15, 15] == pytest.approx(r["xx_15_15"])
+    few = stats.moments(df, xs[:3], F.col("y"))
+    assert few[1].shape == (4, 4) and few[1][0, 1] == pytest.approx(stats.gram(df, xs[:3], F.col("y")).first()["xx_0_1"])
+    df.unpersist()
