@@ -13,7 +13,10 @@ _TITLES = {
     "n": ["Dr", "Prof"],
 }
 _TITLE = "|".join(t for ts in _TITLES.values() for t in ts)
-_FIRST = "".join(sorted({t[0] for ts in _TITLES.values() for t in ts}))
+#: What a name without a title follows; and, before a colon, labels of one.
+_LEAD = r"[Mm]y name is|[Rr]egards,|Sincerely,|Dear(?! (?:Sirs?|Madam|All|Everyone|Customers?|Team|Friends?|Colleagues?|Editors?|Readers?|Members?|Users?|Mrs?|Ms|Miss|Dr|Prof)\b)"
+_LABEL = r"(?<![\p{L}\p{N}])(?i:name|contact|author|signed|attn)"
+_FIRST = "".join(sorted({t[0] for ts in _TITLES.values() for t in ts} | {*"MmRrSD"}))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}"
 _NAMED = r"(?i:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key)['\"]? {0,2}"
@@ -31,12 +34,14 @@ _PHONE = (
     r"(?<![\w.+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)"
     r"|(?<![\w.+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.+\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
 )
-_PERSON = rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'’\-]+(?: \p{{Lu}}[\p{{Ll}}'’\-]+)?(?!\p{{L}})"
+_NAME = r"\p{Lu}[\p{Ll}'’\-]+(?: \p{Lu}[\p{Ll}'’\-]+)?(?!\p{L})"
+_PERSON = rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? |(?:{_LEAD})[ \n]){_NAME}"
+_LABELLED = rf": {_NAME}"
 #: Every kind of entity; at one place the earlier kind wins.
-PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IP, _IBAN, _CARD, _SSN, _PHONE, _PERSON))
+PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IP, _IBAN, _CARD, _SSN, _PHONE, _PERSON, rf"(?<={_LABEL}){_LABELLED}"))
 #: Holds wherever PATTERN can match: each alternative begins at a rare character, so that most of prose is passed over at once.
 _MAYBE = (
-    rf"(?=[@0-9=:{_FIRST}_A\-])(?:[@0-9]|[=:](?<={_NAMED}[=:])|(?:{_TITLE})\.? \p{{Lu}}|_(?<=gh[pousr]_)|-(?<=sk-)|AKIA)"
+    rf"(?=[@0-9=:{_FIRST}_A\-])(?:[@0-9]|[=:](?<={_NAMED}[=:])|:(?<={_LABEL}:) \p{{Lu}}|(?:(?:{_TITLE})\.?|{_LEAD})[ \n]\p{{Lu}}|_(?<=gh[pousr]_)|-(?<=sk-)|AKIA)"
 )
 
 _SOUNDS = {
@@ -55,7 +60,7 @@ def _kind(m: Column) -> Column:
     full = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(full(_EMAIL), "email").when(full(_IP), "ip").when(full(_IBAN), "iban").when(full(_CARD), "card")
-        .when(full(_SSN), "ssn").when(full(_PHONE), "phone").when(full(_PERSON), "person").otherwise("secret")
+        .when(full(_SSN), "ssn").when(full(_PHONE), "phone").when(full(f"{_PERSON}|{_LABELLED}"), "person").otherwise("secret")
     )
 
 
@@ -72,13 +77,17 @@ def _key(*parts) -> Column:
     return F.concat_ws("\u0001", *parts)
 
 
+#: What stands before the name in a mention of a person.
+_BEFORE = rf"^(?:(?:{_LEAD})[ \n]|\S+ )"
+
+
 def _units(m: Column) -> Column:
     """What stands behind a mention, as type\\x01norm: one for most types, a name's words for a person.
 
     The norm is free of format, so that mentions of one thing share it: digits
     for numbers (the last ten of a phone), lower case for e-mail and hex.
     """
-    words = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
+    words = F.split(F.regexp_replace(m, _BEFORE, ""), " ")
     last, first = F.element_at(words, -1), F.element_at(words, 1)
     surname = _key(F.lit("surname"), _script(last), last)
     given = _key(F.lit("given"), F.concat(_gender(m), F.lit("/"), _script(first)), first)
@@ -165,15 +174,14 @@ def surrogates(units: DataFrame, key: str, attempts: int = 64) -> DataFrame:
     pending, done = every, None
     for attempt in range(attempts):
         seed = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit(str(attempt)), "unit"), 256)
-        tried = table(pending.withColumn("seed", seed).withColumn("surrogate", _surrogate(F.col("kind"), F.col("detail"), F.col("norm"), F.col("seed"), attempt)).drop("seed")
-                      .withColumn("taken", F.concat_ws("\u0001", "kind", "surrogate")))
-        free = tried.join(real, "taken", "left_anti")
-        if done is not None:
-            free = free.join(done.select("taken"), "taken", "left_anti")
-        won = free.groupBy("taken").agg(F.min("unit").alias("unit"), F.count("*").alias("n"))
-        fresh = table(tried.join(won.select("unit"), "unit", "left_semi").select("unit", "surrogate", "taken"))
+        tried = pending.withColumn("seed", seed).withColumn("surrogate", _surrogate(F.col("kind"), F.col("detail"), F.col("norm"), F.col("seed"), attempt)).drop("seed")
+        tried = tried.withColumn("taken", F.concat_ws("\u0001", "kind", "surrogate"))
+        used = real if done is None else real.unionByName(done.select("taken"))
+        first = tried.groupBy("taken").agg(F.min("unit").alias("unit")).join(used, "taken", "left_anti").select("unit", F.lit(True).alias("won"))
+        tried = table(tried.join(first, "unit", "left"))
+        fresh = tried.filter("won").select("unit", "surrogate", "taken")
         done = fresh if done is None else done.unionByName(fresh)
-        pending = table(tried.drop("surrogate", "taken").join(fresh.select("unit"), "unit", "left_anti"))
+        pending = tried.filter("won is null").select(*every.columns)
         if pending.isEmpty():
             return done.select("unit", "surrogate")
     raise RuntimeError("some values found no free surrogate")
@@ -194,10 +202,12 @@ def _render(m: Column, found: Column) -> Column:
     )
     numbers = F.reverse(counted["out"])
     spaced = F.when(m.contains(" "), F.trim(F.regexp_replace(one, "(.{4})", "$1 "))).otherwise(one)
-    names = F.array_join(F.transform(units, lambda u: F.element_at(found, u)), " ")
+    # a given name whose title the document has elsewhere is that person's
+    known = lambda u, g: F.try_element_at(found, F.replace(u, F.lit("\u0001n/"), F.lit(f"\u0001{g}/")))
+    names = F.array_join(F.transform(units, lambda u: F.coalesce(known(u, "m"), known(u, "f"), F.element_at(found, u))), " ")
     upper = (F.upper(m) == m) & m.rlike("[A-Z]")
     return (
-        F.when(_kind(m) == "person", F.concat(F.regexp_extract(m, r"^(\S+ )", 1), names))
+        F.when(_kind(m) == "person", F.concat(F.regexp_extract(m, _BEFORE, 0), names))
         .when(_kind(m).isin("card", "ssn", "phone"), numbers)
         .when(_kind(m) == "iban", spaced)
         .when(_kind(m) == "email", F.when(upper, F.upper(one)).otherwise(one))
@@ -227,8 +237,10 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """All columns of docs with surrogates in text, and n_entities, the number of mentions replaced.
 
     Found are e-mail and IPv4 addresses, phone, card, account (IBAN) and
-    social security numbers, secrets, names after a title, and all other
-    whole-word mentions of those names in the same document. The same value
+    social security numbers, secrets, names after a title, a salutation, a
+    closing, "my name is" or a label such as "Name:", and all other whole-word
+    mentions of those names in the same document; names that nothing of that
+    kind goes with are not. The same value
     has the same surrogate in all documents and formats; different values of a
     type have different ones, and no surrogate is a value that the corpus
     holds. Texts without an entity, empty and null ones (n_entities 0) among

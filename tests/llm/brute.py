@@ -115,3 +115,61 @@ def repeated_bytes(texts, length=400):
         rest = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         out.append((len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(rest).hexdigest()))
     return out
+
+
+def passages(rows, length=51):
+    """For each row (stretches, words) under length words that another row (by id and text) holds too."""
+    split = [re.findall(r"\w+", (t or "").lower()) for _, t in rows]
+    where = defaultdict(set)
+    for r, w in zip(rows, split, strict=True):
+        for k in range(len(w) - length + 1):
+            where[tuple(w[k : k + length])].add(r)
+    out = []
+    for w in split:
+        on = bytearray(len(w))
+        for k in range(len(w) - length + 1):
+            if len(where[tuple(w[k : k + length])]) > 1:
+                on[k : k + length] = b"\x01" * length
+        out.append((len(re.findall(b"\x01+", bytes(on))), sum(on)))
+    return out
+
+
+def mentions(text, kinds):
+    """(start, end, kind, norm) of the mentions in a text, leftmost first; kinds: (name, pattern) in the order in which they are tried."""
+    import regex
+
+    every = regex.compile("|".join(f"(?P<k{n}>{p})" for n, (_, p) in enumerate(kinds)))
+    out = []
+    for m in every.finditer(text or ""):
+        kind = kinds[int(m.lastgroup[1:])][0]
+        digits = re.sub(r"\D", "", m[0])
+        norm = {"phone": digits[-10:], "card": digits, "ssn": digits, "iban": m[0].replace(" ", ""), "email": m[0].lower()}.get(kind, m[0])
+        out.append((*m.span(), kind, norm.lower() if kind == "secret" and re.fullmatch("[0-9A-F]+", norm) else norm))
+    return out
+
+
+def similar(rows, n=5):
+    """The least doc_id of each group of texts at Jaccard similarity 0.8 of their sets of n words or more, over all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = ascii_lower(t or "").split()
+        sets[i] = frozenset([tuple(w)] if len(w) < n else zip(*(w[k:] for k in range(n)), strict=False))
+    root = groups(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    return sorted(set(root.values()))
+
+
+def indicators(text, bits):
+    """The positions of quality's indicators, gram by gram."""
+    b, out, small = (text or "").encode(), set(), 0xFFFFFFFF
+    for k in range(len(b) - 2):
+        out.add((int.from_bytes(b[k : k + 3], "big") * 2654435761 & small) >> 32 - bits)
+    kind = lambda c: 5 if c > 127 else 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if chr(c) in ".,;:" else 4
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", b) if w]
+    shapes = [kind(w[0]) + 6 * kind(w[-1]) + 36 * min(len(w) // 4, 3) + 144 * (k > 0 and w == words[k - 1]) for k, w in enumerate(words)]
+    for n in (1, 2, 3):
+        for k in range(len(shapes) - n + 1):
+            code = n
+            for s in shapes[k : k + n]:
+                code = (code * 289 + s) & small
+            out.add((code * 2246822519 & small) >> 32 - bits)
+    return sorted(out)

@@ -1,4 +1,7 @@
 import re
+from collections import defaultdict
+
+import brute
 
 from quillframe.llm import pii
 from quillframe.llm.queries import op5_pii_surrogates
@@ -104,3 +107,56 @@ def test_query(spark, small):
         if not out[i]["n_entities"]:
             assert out[i]["text"] == text
     assert seen
+
+
+KINDS = [
+    ("email", pii._EMAIL), ("secret", pii._SECRET), ("ip", pii._IP), ("iban", pii._IBAN), ("card", pii._CARD), ("ssn", pii._SSN), ("phone", pii._PHONE),
+]
+
+
+def test_query_against_brute_force(spark, small):
+    """All that isn't a mention stays; one value has one surrogate everywhere, of its format; no two values share one; none is a real value."""
+    rows = {r[0]: r[1] for r in small("documents")}
+    out = {r["doc_id"]: r for r in op5_pii_surrogates(spark, "/root/testdata/sf0.001").collect()}
+    assert out.keys() == rows.keys()
+    to, real, count = defaultdict(set), defaultdict(set), 0
+    for i, text in rows.items():
+        found = brute.mentions(text, KINDS)
+        new, at, last = out[i]["text"], 0, 0
+        assert out[i]["n_entities"] == len(found) and (found or new == text)
+        for a, b, kind, norm in found:
+            between = text[last:a]
+            assert new[at : at + len(between)] == between
+            at += len(between)
+            # a surrogate's length is its mention's, but for addresses
+            size = len(re.match(r"[\w.@%+\-]+\w" if kind == "email" else r"[\d.]+\d", new[at:])[0]) if kind in ("email", "ip") else b - a
+            mine = new[at : at + size]
+            if kind in ("phone", "card", "ssn"):
+                assert re.sub(r"\d", "0", mine) == re.sub(r"\d", "0", text[a:b])
+            if kind == "card":
+                assert luhn(mine) == luhn(text[a:b])
+            (_, _, again, value), *more = brute.mentions(f" {mine} " if kind != "secret" else f"token = {mine} ", KINDS)
+            assert not more and (again == kind or kind == "card")
+            to[kind, norm].add(value)
+            real[kind].add(norm)
+            at, last, count = at + size, b, count + 1
+        assert new[at:] == text[last:]
+    assert count > 20 and all(len(v) == 1 for v in to.values())
+    for kind in real:
+        given = [next(iter(v)) for (k, _), v in to.items() if k == kind]
+        assert len(set(given)) == len(given) and not set(given) & real[kind]
+
+
+def test_names_after_other_words_than_titles(docs):
+    rows = [
+        (1, "Hello, my name is John Smith. Mr John Smith and Smith"), (2, "Dear Maria,\nDear Customer, Dear Sir"), (3, "Contact: Jane Doe, jane@example.com"),
+        (4, "Kind regards,\nErika Mustermann"), (5, "name: lower case; rename: Title; Sincerely, Ann"),
+    ]
+    out = run(docs, rows)
+    assert out[1][1] == 3 and "John" not in out[1][0] and "Smith" not in out[1][0]
+    a, b = re.search(r"my name is (\w+ \w+)\. Mr (\w+ \w+) and", out[1][0]).groups()
+    assert a == b
+    assert "Maria" not in out[2][0] and out[2][0].endswith("Dear Customer, Dear Sir") and out[2][1] == 1
+    assert "Jane" not in out[3][0] and "Doe" not in out[3][0] and out[3][0].startswith("Contact: ")
+    assert "Erika" not in out[4][0] and out[4][0].startswith("Kind regards,\n")
+    assert out[5][0].startswith("name: lower case; rename: Title; Sincerely, ") and out[5][1] == 1
