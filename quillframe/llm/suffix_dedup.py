@@ -9,6 +9,10 @@ merge: sorted, front-coded runs are exchanged by ranges and combined with
 loser trees that never compare known prefixes again. Neighbours' common
 prefixes, to the right and (within a group) to the left, then say exactly
 which windows repeat.
+
+Passages of over 50 words that another document holds too are told beside
+that, as they may have fewer than 400 bytes: windows of 51 words pick anchors
+in the same way, and hashes of the windows around anchors that repeat decide.
 """
 
 from __future__ import annotations
@@ -27,8 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import drop_table, map_batches, pieces, table
+from quillframe.llm.decontam import mixed, shingle_hashes, word_hashes
 
 LENGTH = 400
+#: Words of a passage, and places of such a window that may be its anchor.
+PASSAGE = 51
+PLACES = 40
 #: Places of a window that may be its anchor; the rest of it is right context whatever the place.
 SPREAD = 256
 CORE = LENGTH - SPREAD + 1
@@ -212,6 +220,103 @@ def repeated_offsets(rights: list[int], lefts: list[bytes], low: list[int], high
             yield i, low[i], high[i]
 
 
+def _ranges_hashed(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits of the words a to b of hashes w, equal for equal words: a sum by powers, with the first one's power taken out."""
+    base = 0x9E3779B97F4A7C15
+    powers, back = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(len(w), x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(w * powers[:-1], dtype=np.uint64)))
+    return mixed((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+
+
+def passage_anchors(w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of all windows of PASSAGE words: text, place (from the first word of all on), least and greatest offset of the windows that picked it.
+
+    w, sizes: hashes of the words of texts one after the other, and how many
+    each text has. A window picks the least hash of four words among its
+    first PLACES places.
+    """
+    first = np.concatenate([np.arange(a, a + n - PASSAGE + 1) for a, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True) if n >= PASSAGE] or [np.zeros(0, dtype=np.int64)])
+    if not len(first):
+        return (np.zeros(0, dtype=np.int64),) * 4
+    text, out = np.repeat(np.arange(len(sizes)), np.maximum(sizes - PASSAGE + 1, 0)), []
+    for at in range(0, len(first), _WINDOWS):
+        some = first[at : at + _WINDOWS]
+        low = int(some[0])
+        v = shingle_hashes(w[low : int(some[-1]) + PASSAGE], 4) & np.uint64(0xFFFFFFFFFF000000)
+        v |= np.arange(len(v), dtype=np.uint64)  # the place below: the least is the leftmost of equals
+        k = 1
+        while k < PLACES:
+            step = min(k, PLACES - k)
+            v = np.minimum(v[:-step], v[step:])
+            k += step
+        place = (v[some - low] & np.uint64(0xFFFFFF)).astype(np.int64) + low
+        cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (some[1:] != some[:-1] + 1))))
+        last = np.concatenate((cut[1:] - 1, [len(some) - 1]))
+        out.append((text[at + cut], place[cut], place[cut] - some[last], place[cut] - some[cut]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+#: Windows of words that are looked at together.
+_WINDOWS = 1 << 22
+
+
+def _passage_rows(docs: DataFrame) -> DataFrame:
+    """d, h, x (hash of the words that every window of an anchor has), c (of all their words), p, low, high."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "t"):
+            w, sizes = word_hashes([str(t, "utf-8") for t in part.column("t").to_pylist()])
+            text, place, low, high = passage_anchors(w, sizes)
+            x, c = _ranges_hashed(w, place, place + PASSAGE - PLACES + 1), _ranges_hashed(w, place - high, place - low + PASSAGE)
+            ids, p = part.select(["d", "h"]).take(pa.array(text)), place - (np.cumsum(sizes) - sizes)[text]
+            columns = [*(v.view(np.int64) for v in (x, c)), p.astype(np.int32), low.astype(np.int16), high.astype(np.int16)]
+            yield pa.record_batch([*ids.columns, *map(pa.array, columns)], ["d", "h", "x", "c", "p", "low", "high"])
+
+    return map_batches(docs.select("d", "h", "t"), run, "d long, h long, x long, c long, p int, low short, high short")
+
+
+def _windows_of(contexts: DataFrame) -> DataFrame:
+    """x, c, off, w1, w2, d, many: the windows of words of each class by its first text, with 128 bits of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "t", 1 << 20):
+            w, sizes = word_hashes([str(t, "utf-8") for t in part.column("t").to_pylist()])
+            lists = part.column("k")
+            k, text = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            p, low, high = (k.field(n).to_numpy().astype(np.int64) for n in ("p", "low", "high"))
+            n = high - low + 1
+            of = np.repeat(np.arange(len(n)), n)
+            off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]
+            first = (np.cumsum(sizes) - sizes)[text[of]] + p[of] - off
+            one, two = (_ranges_hashed(v, first, first + PASSAGE).view(np.int64) for v in (w, w ^ np.uint64(0x5BD1E995)))
+            at = pa.array(of)
+            x, c, d, many = (k.field(n).take(at) for n in ("x", "c", "d", "many"))
+            yield pa.record_batch([x, c, pa.array(off.astype(np.int16)), pa.array(one), pa.array(two), d, many], ["x", "c", "off", "w1", "w2", "d", "many"])
+
+    return map_batches(contexts, run, "x long, c long, off short, w1 long, w2 long, d long, many boolean")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """d, h, p, mask: where bit k of mask is set, the window of PASSAGE words that begins k words before p stands in another document too."""
+    every, doc = table(_passage_rows(docs)), F.struct("d", "h")
+    groups = table(every.groupBy("x").agg((F.min(doc) != F.max(doc)).alias("more"), (F.min("c") != F.max("c")).alias("mixed")).filter("more").drop("more"))
+    hits = table(every.join(groups, "x"))
+    drop_table(every)
+    drop_table(groups)
+    classes = table(hits.groupBy("x", "c", "mixed").agg((F.min(doc) != F.max(doc)).alias("many"), F.min(F.struct("d", "h", "p", "low", "high")).alias("r")).select("x", "c", "mixed", "many", "r.*"))
+    lists = classes.filter("mixed").groupBy("d", "h").agg(F.collect_list(F.struct("x", "c", "p", "low", "high", "d", "many")).alias("k"))
+    windows = table(_windows_of(docs.select("d", "h", "t").dropDuplicates(["d", "h"]).join(lists, ["d", "h"]).select("t", "k")))
+    shared = windows.groupBy("w1", "w2").agg((F.max("many") | (F.min("d") != F.max("d"))).alias("more")).filter("more").select("w1", "w2")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(k).cast("int"))
+    found = windows.join(shared, ["w1", "w2"], "left_semi").select("x", "c", bit("off").alias("mask"))
+    found = found.unionByName(classes.filter("many").select("x", "c", (bit("high") * 2 - bit("low")).alias("mask")))
+    masks = found.groupBy("x", "c").agg(F.bit_or("mask").alias("mask"))
+    out = table(hits.join(masks, ["x", "c"]).select("d", "h", "p", "mask"))
+    for t in (hits, classes, windows):
+        drop_table(t)
+    return out
+
+
 _META = np.dtype([("x", "<i8"), ("c", "<i8"), ("low", "<i2"), ("high", "<i2"), ("many", "?")])
 _SPANS = "x long, c long, low int, high int"
 
@@ -324,7 +429,7 @@ def _sorted_spans(contexts: DataFrame, bounds: list[bytes]) -> DataFrame:
         return pd.DataFrame(out, columns=["x", "c", "low", "high"]).astype({"x": "int64", "c": "int64", "low": "int32", "high": "int32"})
 
     exchanged = map_batches(contexts, runs, "part int, suffixes binary, rest binary")
-    return exchanged.repartition(n, "part").groupBy("part").applyInPandas(merge, _SPANS)
+    return exchanged.repartitionById(n, F.col("part")).groupBy("part").applyInPandas(merge, _SPANS)
 
 
 def _hashed_spans(contexts: DataFrame) -> DataFrame:
@@ -379,41 +484,67 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP, partitions: int
     return some.unionByName(whole).select("d", "h", (F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + LENGTH).alias("stop")).distinct()
 
 
+def _merged(spans: Iterator[tuple[int, int]]) -> list[list[int]]:
+    """Spans in order, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _bit_runs(p: int, mask: int) -> Iterator[tuple[int, int]]:
+    """The words that windows cover which begin as many words before p as set bits of mask say, run by run of bits."""
+    low = 0
+    while mask >> low:
+        if mask >> low & 1:
+            high = low
+            while mask >> high + 1 & 1:
+                high += 1
+            yield p - high, p - low + PASSAGE
+            low = high
+        low += 1
+
+
 def suffix_dedup(docs: DataFrame, max_group: int = MAX_GROUP, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if asked for) for every row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words (and kept, the remaining bytes, if asked for) for every row of docs.
 
     Each byte goes that is covered by a 400-byte string of its text (as UTF-8)
     that starts anywhere else, in the same text too; texts are judged as they
     come, and no string crosses documents. Null texts count as empty; texts
     under 400 bytes lose nothing. Rows with the same doc_id and the same text
-    repeat each other, so both lose all that is in a 400-byte string. Null
-    doc_ids are kept; other columns are not read; an empty table gives an empty one.
+    repeat each other, so both lose all that is in a 400-byte string.
+    n_passages counts the maximal stretches under 51 words that another
+    document (another doc_id or text) has one after the other too, and
+    n_passage_words their words; words are lower-cased runs of letters, digits
+    and underscores. Those count whatever their bytes, and are not removed
+    unless their bytes are. Null doc_ids are kept; other columns are not read; an empty table gives an empty one.
     """
     kind = dict(docs.dtypes)["doc_id"]
     base = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("d"), F.xxhash64(F.lit(7), "doc_id", "text").alias("h"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t")
     )
-    spans = repeated_spans(base, max_group).groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    found = passages(base).select("d", "h", F.col("p").cast("long").alias("start"), F.lit(None).cast("long").alias("stop"), "mask")
+    found = found.unionByName(repeated_spans(base, max_group).withColumn("mask", F.lit(None).cast("long")))
+    spans = found.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "stop", "mask")).alias("s"))
     both = base.join(spans, (base["d"] == spans["_d"]) & (base["h"] == spans["_h"]), "left").select("doc_id", "t", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "t"):
             rows = []
             for t, s in zip(part.column("t").to_pylist(), part.column("s").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for a, b in sorted((x["start"], x["stop"]) for x in s or []):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                merged = _merged((x["start"], x["stop"]) for x in s or [] if x["mask"] is None)
+                told = _merged(y for x in s or [] if x["mask"] is not None for y in _bit_runs(x["start"], x["mask"]))
                 at, kept = 0, []
                 for a, b in merged:
                     kept.append(t[at:a])
                     at = b
                 left = b"".join([*kept, t[at:]])
-                rows.append((len(t), len(t) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left if with_text else None))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-            yield pa.record_batch([part.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(t), len(t) - len(left), len(merged), hashlib.sha256(left).hexdigest(), len(told), sum(b - a for a, b in told), left if with_text else None))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.record_batch([part.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words", "kept"])
 
-    out = map_batches(both, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = map_batches(both, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, kept binary")
     return out if with_text else out.drop("kept")
