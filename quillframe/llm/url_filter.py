@@ -103,8 +103,8 @@ def _bit(position: Column) -> Column:
 MAX_WORDS = 1 << 20
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, key: str = "key", rate: float = 1 / 64, max_words: int = MAX_WORDS) -> Cascade | None:
-    """A cascade that tells listed keys from all others of universe; None if a level would pass max_words.
+def build_cascade(universe: DataFrame, listed: DataFrame, key: str = "key", rate: float = 1 / 64, max_words: int = MAX_WORDS) -> Cascade:
+    """A cascade that tells listed keys from all others of universe; an error if a level would pass max_words.
 
     universe and listed each have the column key; repeats and nulls don't
     count. The only things gathered on the driver are counts and the filters'
@@ -121,7 +121,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, key: str = "key", rate
             bits = 64 * max(1, math.ceil(n * math.log2(1 / r) / math.log(2) / 64))
             hashes = max(1, round(math.log2(1 / r)))
             if bits // 64 > max_words:
-                return None
+                raise ValueError(f"level {len(out.levels) + 1} of the cascade needs {bits // 64} words, more than max_words")
             level = len(out.levels) + 1
             at = todo.select(F.explode(F.array(*_positions(F.col("_q_key"), level, bits, hashes))).alias("p"))
             rows = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(_bit(F.col("p"))).alias("v")).collect()
@@ -144,19 +144,16 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], listed: DataFrame, max_wor
     fitting rule decides; where none fits, a host is blocked if it or a parent
     domain is in listed (column key), else allowed. Repeated rows and null
     page_ids are kept as they are; extra columns are not read. An empty listed
-    table blocks nothing. If the cascade's words would pass max_words, listed
-    hosts are found by a join on the distinct hosts instead.
+    table blocks nothing. A level of the cascade has about nine bits for each
+    listed host, or for each host that the level before takes wrongly; one of
+    more than max_words words is an error, and nothing is left out for it.
     """
     base = pages.select("page_id", F.col("url").alias("_q_url"))
     base = base.select("page_id", host_of(F.col("_q_url")).alias("host"), path_of(F.col("_q_url")).alias("path"))
     keys = base.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key"))
     cascade = build_cascade(keys, listed, max_words=max_words)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    if cascade is not None:
-        bad = F.exists(suffixes(F.col("host")), cascade.contains)
-    else:
-        hosts = keys.join(listed.select("key").distinct(), "key", "left_semi").select("host", F.lit(True).alias("_q_bad")).distinct()
-        base, bad = base.join(hosts, "host", "left"), F.coalesce("_q_bad", F.lit(False))
+    bad = F.exists(suffixes(F.col("host")), cascade.contains)
     return base.select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(bad, "block").otherwise("allow")).alias("verdict"),
