@@ -183,12 +183,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
     Executors turn the whole texts into indicators; the driver gets their
     positions only, so its memory is bounded by max_rows times 2**BITS / 8 bytes.
-    Repeated labels of a document count once (the larger). Without any usable
+    Repeated labels of a document count once (the larger), and so do rows that
+    repeat a doc_id. Without any usable
     row every score is one half.
     """
     chosen = training_labels(labels, label).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # of rows that repeat a doc_id, the text with the least hash: so no id brings more than one row to the driver
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    known = known.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "y", "x.text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):

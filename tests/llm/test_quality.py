@@ -1,5 +1,6 @@
 import zlib
 
+import brute
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -92,3 +93,33 @@ def test_dual_coordinate_descent_reaches_the_optimum():
         v -= (v - ((c * s * (s * (x @ v) < 1))[:, None] * x).sum(axis=0)) / (k + 20)
         best = min(best, value(v))
     assert value(np.append(w, b)) <= best * 1.001
+
+
+def test_query_against_brute_force(spark, small):
+    """Labels, indicators, ratios and scores in plain Python; the optimum has its own test."""
+    texts = {r[0]: r[1] for r in small("documents")}
+    known = {}
+    for i, q, *_ in small("labels"):
+        if q is not None and not held(i) and i in texts:
+            known[i] = max(q, known.get(i, 0))
+    ids = sorted(known)
+    rows = [brute.indicators(texts[i], quality.BITS) for i in ids]
+    assert all(np.flatnonzero(quality.indicators(t.encode())).tolist() == brute.indicators(t, quality.BITS) for t in list(texts.values())[:60])
+    y = np.array([known[i] for i in ids])
+    counts = [[1 + sum(1 for x, k in zip(rows, y, strict=True) if k == c and j in x) for c in (1, 0)] for j in rows[0][:50]]
+    total = [sum(len(x) for x, k in zip(rows, y, strict=True) if k == c) + (1 << quality.BITS) for c in (1, 0)]
+    ratios = quality.log_count_ratios([np.array(x) for x in rows], y, 1 << quality.BITS)
+    assert np.allclose(ratios[rows[0][:50]], [np.log(p / total[0]) - np.log(q / total[1]) for p, q in counts])
+    model = quality.fit_rows([np.array(x) for x in rows], y)
+    for r in op7_quality(spark, "/root/testdata/sf0.001").collect():
+        z = model.a * (sum(model.weights[j] for j in brute.indicators(texts[r["doc_id"]], quality.BITS)) + model.bias) + model.c
+        assert abs(r["score"] - 1 / (1 + np.exp(-min(30, max(-30, z))))) < 1e-9
+
+
+def test_rows_that_repeat_an_id_count_once(spark, docs, monkeypatch):
+    seen = []
+    real = quality.fit_rows
+    monkeypatch.setattr(quality, "fit_rows", lambda rows, y, **k: seen.append(len(y)) or real(rows, y, **k))
+    rows = sample(20)
+    quality.fit(docs([*rows, *((1, f"text {k}") for k in range(50))]), labels(spark, [(i, i % 2) for i, _ in rows]))
+    assert seen == [sum(not held(i) for i, _ in rows)]
