@@ -465,7 +465,11 @@ def padded(text: bytes | None) -> bytes:
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: the stored form of every row's text as a binary column."""
+    """doc_id, n_bytes, media: the stored form of every row's text as a binary column.
+
+    Null texts count as empty ones, which are stored as 192 spaces; repeated
+    rows and null doc_ids are kept, other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):

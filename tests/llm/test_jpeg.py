@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillframe.llm import jpeg
 from quillframe.llm.queries import op3_progressive_jpeg
@@ -241,5 +242,11 @@ def test_media_table(docs):
 
 
 def test_query(spark, small):
-    got = {r["doc_id"]: tuple(r)[1:5] for r in op3_progressive_jpeg(spark, "/root/testdata/sf0.001").collect()}
-    assert got == {r[0]: expected(r[1]) for r in small("documents")}
+    out = {r["doc_id"]: r for r in op3_progressive_jpeg(spark, "/root/testdata/sf0.001").collect()}
+    assert {i: tuple(r)[1:5] for i, r in out.items()} == {r[0]: expected(r[1]) for r in small("documents")}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for r in jpeg.decode_media(jpeg.encode_texts(docs).select("doc_id", "media", F.col("media").alias("stored")), "media").collect():
+        rgb, m = np.frombuffer(r["rgb"], np.uint8).reshape(-1, 3), bytes(r["stored"])
+        sums = ":".join(str(int(x)) for x in rgb.sum(axis=0, dtype=np.int64))
+        got = out[r["doc_id"]]
+        assert (got["media_bytes"], got["media_sha256"], got["feature"]) == (len(m), hashlib.sha256(m).hexdigest(), f"{r['width']}x{r['height']}:{sums}")
