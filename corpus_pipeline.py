@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
 and read again as the next one's docs. All but the last return the columns of
 documents.
+
+Null doc_ids, null and empty texts and repeated rows pass through every stage
+by its own rule, extra columns are kept up to the last one, and empty tables
+give empty ones.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from quillframe.llm.common import table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. It learns from the labelled rows of docs."""
+    """Documents that the quality classifier rejects go. It learns from the labelled rows of docs.
+
+    Null texts score as empty ones; every row is judged by its own text.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels))
 
@@ -29,17 +36,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each near-duplicate group stays: five-word shingles, Jaccard similarity 0.8 or more.
+
+    Texts without words, null ones among them, are one group. The least
+    doc_id stays, nulls last; of rows that repeat it in a group one stays.
+    """
     return near_dups.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Null and wordless texts and items match nothing; without items all stay.
+    """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded text."""
+    """doc_id, n_tokens and digests of ids and decoded text, for every row; null texts as empty ones."""
     return bpe.digests(docs)
 
 
