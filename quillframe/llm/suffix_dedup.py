@@ -310,9 +310,10 @@ def passages(docs: DataFrame) -> DataFrame:
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(k).cast("int"))
     found = windows.join(shared, ["w1", "w2"], "left_semi").select("x", "c", bit("off").alias("mask"))
     found = found.unionByName(classes.filter("many").select("x", "c", (bit("high") * 2 - bit("low")).alias("mask")))
-    masks = found.groupBy("x", "c").agg(F.bit_or("mask").alias("mask"))
+    # a table, so that Spark can split a frequent class in the join below
+    masks = table(found.groupBy("x", "c").agg(F.bit_or("mask").alias("mask")))
     out = table(hits.join(masks, ["x", "c"]).select("d", "h", "p", "mask"))
-    for t in (hits, classes, windows):
+    for t in (hits, classes, windows, masks):
         drop_table(t)
     return out
 
