@@ -5,9 +5,8 @@ from __future__ import annotations
 import atexit
 import io
 import os
-import re
+import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -17,11 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.shared import new_path, remove
+
 #: Bytes of text that one step of a Python operator holds at once.
 BATCH_BYTES = 4 << 20
 
 _shipped: set[str] = set()
-_scratch: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,58 +37,25 @@ def ship(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     p = os.path.join(top, f)
                     z.write(p, os.path.join(name, os.path.relpath(p, root)))
-    path = os.path.join(tempfile.mkdtemp(), f"{name}.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from there as long as the session lives
+    path = os.path.join(folder, f"{name}.zip")
     with open(path, "wb") as out:
         out.write(buf.getvalue())
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillframe-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The name of a new folder in the shared one, with its scheme; it goes when the session ends."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillframe-{uuid.uuid4().hex}")
-    path = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()
-    path = re.sub("^file:/+", "file:///", path)
-    _scratch.append((spark, path))
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _scratch:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone: its folder is the cluster's to clean
-            pass
-
-
 def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillframe-{uuid.uuid4().hex}"
+    path = new_path(spark)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._quillframe_path = path
-    # the step's shuffle files go once the JVM sees that nothing refers to them
+    # The step's shuffle files go once the JVM sees that nothing refers to them: on disk they may
+    # outweigh the table, and a collection of the driver's small heap costs less than keeping them.
     spark.sparkContext._jvm.System.gc()
     return out
 
@@ -97,8 +64,7 @@ def drop_table(df: DataFrame) -> None:
     """Delete what table() wrote, once nothing reads it any more."""
     path = getattr(df, "_quillframe_path", None)
     if path:
-        _remove(df.sparkSession, path)
-        _scratch[:] = [x for x in _scratch if x[1] != path]
+        remove(df.sparkSession, path)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.bpe import Pieces, byte_alphabet, default_path
-from quillframe.llm.common import map_batches, pieces, scratch_dir, table
+from quillframe.llm.common import map_batches, pieces, table
+from quillframe.shared import new_path
 
 #: The id that ends each document.
 END = 2
@@ -182,7 +183,7 @@ def write_store(docs: DataFrame, path: str | None = None, end: int = END, partit
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_q_hash")]
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("_q_hash")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    folder = scratch_dir(spark)
+    folder = new_path(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, before, at, out = library(path), TaskContext.get().partitionId(), 0, 0, None
