@@ -6,18 +6,6 @@ import corpus_pipeline
 from quillframe.llm import near_dups
 
 
-def shingles(text):
-    w = brute.ascii_lower(text or "").split()
-    return frozenset([tuple(w)] if len(w) < 5 else zip(*(w[k:] for k in range(5)), strict=False))
-
-
-def kept(rows):
-    """The least doc_id of each group of texts at Jaccard similarity 0.8 or more, over all pairs."""
-    sets = {i: shingles(t) for i, t in rows}
-    root = brute.groups(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
-    return sorted(set(root.values()))
-
-
 def corpus(n=240, seed=3):
     """Texts with a common head, copies edited more and more, and a large group of copies."""
     rng = random.Random(seed)
@@ -39,8 +27,8 @@ def test_stage_against_brute_force(spark, docs):
     rows = [*corpus(), (900, None), (901, ""), (902, "one two"), (903, "ONE\ttwo"), (904, "one two three")]
     df = docs(rows)
     out = corpus_pipeline.near(spark, df, "")
-    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == kept(rows)
-    assert len(kept(rows)) < len(rows) - 40
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == brute.similar(rows)
+    assert len(brute.similar(rows)) < len(rows) - 40
 
 
 def test_given_copies_fold(spark, small):
@@ -48,7 +36,7 @@ def test_given_copies_fold(spark, small):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect())
     # 6/145 and 1/177 are similar, and 7 and 11 bits apart as fingerprints
-    assert got == kept(rows) and not {145, 177} & set(got)
+    assert got == brute.similar(rows) and not {145, 177} & set(got)
 
 
 def test_order_bears_on_time_only(spark, docs, monkeypatch):
@@ -57,7 +45,7 @@ def test_order_bears_on_time_only(spark, docs, monkeypatch):
         monkeypatch.setattr(near_dups, "FREQUENT", least)
         monkeypatch.setattr(near_dups, "MOST_FREQUENT", most)
         monkeypatch.setattr(near_dups, "SAMPLE", 1)
-        assert sorted(r["doc_id"] for r in near_dups.keep_one(docs(rows)).collect()) == kept(rows)
+        assert sorted(r["doc_id"] for r in near_dups.keep_one(docs(rows)).collect()) == brute.similar(rows)
 
 
 def test_nulls_repeats_and_empty_tables(docs):
@@ -65,3 +53,21 @@ def test_nulls_repeats_and_empty_tables(docs):
     out = sorted((str(r["doc_id"]), r["text"]) for r in near_dups.keep_one(docs(rows)).collect())
     assert out == [("7", "m n o p q r"), ("7", "s t u v w x"), ("None", "a b c d e f"), ("None", "g h i j k l")]
     assert near_dups.keep_one(docs([])).count() == 0
+
+
+def test_pairs_that_only_later_orders_or_the_last_step_find(spark, docs, monkeypatch):
+    """A group in which few pairs are similar: the result doesn't hang on how many orders are tried, or on the fingerprints."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(80):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([2, 3, 4])):
+            w[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(w)))
+    want = brute.similar(rows)
+    for orders, salted in ((0, 8192), (8, 8192), (2, 10)):
+        monkeypatch.setattr(near_dups, "ORDERS", orders)
+        monkeypatch.setattr(near_dups, "SALTED", salted)
+        monkeypatch.setattr(near_dups, "SAMPLE", 1)
+        assert sorted(r["doc_id"] for r in near_dups.keep_one(docs(rows)).collect()) == want
