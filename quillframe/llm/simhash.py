@@ -110,17 +110,26 @@ def shard_links(keys: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.
     return keys[up[hung]], keys[hung]
 
 
-def _block_keys(blocks: list[tuple[int, int]], tag: str):
-    """An array of shard keys: for each (lowest bit, width) the block's number and value."""
-    mask = lambda w: (1 << w) - 1
-    return F.array(*(
-        F.concat_ws(":", F.lit(tag), F.lit(str(k)), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(mask(w))).cast("string"))
-        for k, (at, w) in enumerate(blocks)
-    ))
+def _blocks(mask: int, n: int) -> list[int]:
+    """Masks of n blocks of the bits that mask leaves open, each together with mask; none if there are fewer bits."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    cut = [len(free) * k // n for k in range(n + 1)]
+    return [mask | sum(1 << k for k in free[a:b]) for a, b in zip(cut, cut[1:], strict=False)] if len(free) >= n else []
 
 
-def _cut(low: int, width: int, n: int) -> list[tuple[int, int]]:
-    return [(low + width * k // n, width * (k + 1) // n - width * k // n) for k in range(n)]
+def _dealt(keys: DataFrame, n: int) -> DataFrame:
+    """fp, mask, bits: every key (fp, mask) in one shard for each block of the bits that its mask leaves open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, mask = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            for m in np.unique(mask):
+                of = fp[mask == m]
+                for to in map(np.uint64, _blocks(int(m), n)):
+                    columns = of, np.full(len(of), to), of & to
+                    yield pa.record_batch([pa.array(c.view(np.int64)) for c in columns], ["fp", "mask", "bits"])
+
+    return map_batches(keys.select("fp", "mask"), run, "fp long, mask long, bits long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
@@ -128,37 +137,25 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
     Two values at most radius apart agree in at least one of radius + 1 blocks
     of bits, so each value goes to one shard for every block. A shard above the
-    size is dealt out again by radius + 1 blocks of the remaining bits, in
-    which two of its values also differ in radius bits at most. Trees are
-    built where their shard's keys come together: a copy on every executor
-    would grow with the corpus.
+    size is dealt out again by radius + 1 blocks of the bits left open, in
+    which two of its values also differ in radius bits at most, and so on: with
+    every round fewer bits are open, so no shard stays above the size. Trees
+    are built where their shard's keys come together: a copy on every executor
+    would pass all fingerprints through the driver and grow with the corpus.
     """
     n = radius + 1
-    first = _cut(0, 64, n)
-    keyed = prints.select("fp").distinct().select("fp", F.posexplode(_block_keys(first, "0")).alias("k", "shard"))
-    keyed = table(keyed)
-    large = keyed.groupBy("shard").count().filter(F.col("count") > shard).select("shard", F.lit(True).alias("big"))
-    both = keyed.join(large, "shard", "left")
-    cold = both.filter("big is null").select("fp", "shard")
-    parts = [cold]
-    for k, (at, w) in enumerate(first):
-        # the other bits, cut so that no block crosses the gap left by the first one
-        low, high = at, 64 - at - w
-        sides = [x for x in ((0, low), (at + w, high)) if x[1]]
-        share = [n] if len(sides) == 1 else None
-        if share is None:
-            left = min(n - 1, max(1, round(n * low / (low + high))))
-            share = [left, n - left]
-        sub = [b for (lo, width), m in zip(sides, share, strict=True) for b in _cut(lo, width, m)]
-        parts.append(
-            both.filter(F.col("big") & (F.col("k") == k))
-            .select("fp", F.col("shard").alias("s"), F.explode(_block_keys(sub, "1")).alias("x"))
-            .select("fp", F.concat_ws("/", "s", "x").alias("shard"))
-        )
-    dealt = parts[0]
-    for p in parts[1:]:
-        dealt = dealt.unionByName(p)
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "fp")
+    todo, dealt = prints.select("fp").distinct().withColumn("mask", F.lit(0).cast("long")), None
+    while True:
+        keyed = table(_dealt(todo, n))
+        over = keyed.groupBy("mask", "bits").count().filter((F.col("count") > shard) & (F.bit_count("mask") <= 64 - n))
+        large = table(over.select("mask", "bits"))
+        if large.isEmpty():
+            dealt = keyed if dealt is None else dealt.unionByName(keyed)
+            break
+        cold = keyed.join(large, ["mask", "bits"], "left_anti").select(*keyed.columns)
+        dealt = cold if dealt is None else dealt.unionByName(cold)
+        todo = keyed.join(large, ["mask", "bits"], "left_semi")
+    dealt = dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(keys: list[np.ndarray]):
@@ -167,16 +164,15 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
         now, held = None, []
         for batch in batches:
-            names = batch.column("shard").to_numpy(zero_copy_only=False)
-            fps = batch.column("fp").to_numpy()
-            if not len(names):
+            fps, mask, bits = (batch.column(c).to_numpy() for c in ("fp", "mask", "bits"))
+            if not len(fps):
                 continue
-            cut = np.flatnonzero(names[1:] != names[:-1]) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(names)], strict=True):
-                if names[a] != now:
+            cut = np.flatnonzero((mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(fps)], strict=True):
+                if (mask[a], bits[a]) != now:
                     if sum(map(len, held)) > 1:
                         yield close(held)
-                    now, held = names[a], []
+                    now, held = (mask[a], bits[a]), []
                 held.append(fps[a:b])
         if sum(map(len, held)) > 1:
             yield close(held)
@@ -187,14 +183,22 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 def _rooted(docs: DataFrame, n: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp for every row of docs; and fp, least (doc_id), root (the component's least fingerprint) for every fingerprint."""
     prints = table(fingerprints(docs, n))
-    least = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     # components run over fingerprints, so that ids may be null or repeated
     found = components(links(least.select("fp"), radius))
     return prints, least.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
 
 
+def _named(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """prints with the columns of named (fp, n, ...), where a fingerprint that very many rows share moves none of them."""
+    often = max(100_000, prints.count() // 10_000)  # so 10,000 such fingerprints at most are broadcast
+    hot = F.broadcast(named.filter(F.col("n") > often).drop("n"))
+    cold = prints.join(F.broadcast(named.filter(F.col("n") > often).select("fp")), "fp", "left_anti")
+    return prints.join(hot, "fp").unionByName(cold.join(named.filter(F.col("n") <= often).drop("n"), "fp"))
+
+
 def _hexed():
     return F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
 
@@ -211,8 +215,8 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> Data
     """
     prints, rooted = _rooted(docs, n, radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", _hexed(), "component_id")
+    named = table(rooted.join(ids, "root").select("fp", "n", "component_id"))
+    return _named(prints, named).select("doc_id", _hexed(), "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -224,7 +228,7 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFra
     """
     prints, rooted = _rooted(docs, n, radius)
     # a component_id may stand for several components: ids may be null or repeated
-    groups = prints.join(rooted, "fp").select("doc_id", _hexed(), "root")
+    groups = _named(prints, table(rooted.select("fp", "n", "root"))).select("doc_id", _hexed(), "root")
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")).alias("x"))
     kept = best.select(F.col("x.doc_id").alias("_q_id"), F.conv("x.fingerprint", 16, -10).cast("long").alias("_q_fp"))
 
