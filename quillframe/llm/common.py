@@ -128,19 +128,29 @@ def forests(edges: DataFrame, n: int) -> DataFrame:
     return map_batches(edges.select("u", "v").coalesce(n), run, "u long, v long")
 
 
+def _stars(hung: DataFrame) -> DataFrame:
+    """node, root of the nodes u that hang under roots v, and of these roots."""
+    return hung.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        hung.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: (node, root), root the least node.
 
     Nodes are longs. Only nodes that stand on an edge between different nodes
-    come back. Edges are first joined into forests, a million at a time. Every
-    step deals out edges by one end and looks only at that end's least
-    neighbour, an aggregate with a map-side part, so no group is gathered; the
-    edge list never grows. Lineage is cut by a written table after each round.
+    come back. Edges are first joined into forests, a million at a time; where
+    that makes one forest, it is the answer. Every step deals out edges by one
+    end and looks only at that end's least neighbour, an aggregate with a
+    map-side part, so no group is gathered; the edge list never grows. Lineage
+    is cut by a written table after each round.
     """
     e = table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"))
     n = e.count()
     current, sign = table(forests(e, max(1, n // FOREST))), None
     drop_table(e)
+    if n <= FOREST:  # one task had all edges: every node hangs under its component's least already
+        return _stars(current)
     for _ in range(rounds):
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -159,8 +169,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         drop_table(current)
         current = following
         if sign == tuple(now):
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            return _stars(current)
         sign = tuple(now)
     raise RuntimeError("components did not settle")

@@ -91,6 +91,19 @@ class Model:
         return 1 / (1 + math.exp(-z))
 
 
+def _packed(flags: np.ndarray) -> bytes:
+    """The places of the flags that are set, in two bytes each, or a bit for each flag where that isn't longer."""
+    on = np.flatnonzero(flags)
+    return on.astype("<u2").tobytes() if 2 * len(on) < len(flags) // 8 else np.packbits(flags).tobytes()
+
+
+def _places(packed: bytes, bits: int = BITS) -> np.ndarray:
+    """The places that _packed() was given, in two bytes each."""
+    if len(packed) < (1 << bits) // 8:
+        return np.frombuffer(packed, dtype="<u2")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, dtype=np.uint8))).astype("<u2")
+
+
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, size: int, alpha: float = 1.0) -> np.ndarray:
     """log of (share of an indicator in class 1 / in class 0), smoothed by alpha."""
     p, q = np.full(size, alpha), np.full(size, alpha)
@@ -109,15 +122,17 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, labels: n
     share = {s: max(1, int((y == s).sum())) for s in (1.0, -1.0)}
     upper = np.array([cost * n / (2 * share[s]) for s in y])
     w, bias, dual = np.zeros(len(scale)), 0.0, np.zeros(n)
-    values = [scale[x] for x in rows]
-    square = np.array([float(v @ v) + 1 for v in values])
+    # scale[row] is taken anew at every step: kept, it would be the larger part of the driver's memory
+    square = np.array([float(v @ v) + 1 for v in (scale[x] for x in rows)])
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(n):
-            grad = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1
+            x = rows[i]
+            v = scale[x]
+            grad = y[i] * (float(w[x] @ v) + bias) - 1
             new = min(max(dual[i] - grad / square[i], 0.0), upper[i])
             if (step := (new - dual[i]) * y[i]) != 0:
-                w[rows[i]] += step * values[i]
+                w[x] += step * v
                 bias += step
                 most = max(most, abs(step) * math.sqrt(square[i]))
                 dual[i] = new
@@ -182,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """Fit on at most max_rows labelled documents, taken in the order of a hash of doc_id.
 
     Executors turn the whole texts into indicators; the driver gets their
-    positions only, so its memory is bounded by max_rows times 2**BITS / 8 bytes.
+    positions only, at most max_rows times 2**BITS / 8 bytes, and holds them in
+    two bytes for each indicator that a document has.
     Repeated labels of a document count once (the larger), and so do rows that
     repeat a doc_id. Without any usable
     row every score is one half.
@@ -196,12 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             texts = part.column("text").cast(pa.binary()).to_pylist()
-            packed = [np.packbits(indicators(t)).tobytes() for t in texts]
+            packed = [_packed(indicators(t)) for t in texts]
             yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array(packed, pa.binary())], ["doc_id", "y", "x"])
 
     found = map_batches(known, rows, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    at = [np.flatnonzero(np.unpackbits(np.frombuffer(r["x"], dtype=np.uint8))) for r in found]
+    found.sort(key=lambda r: r["doc_id"])
+    at = [_places(r["x"]) for r in found]
     return fit_rows(at, np.array([r["y"] for r in found], dtype=np.int64))
 
 

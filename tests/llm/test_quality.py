@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import brute
@@ -123,3 +124,21 @@ def test_rows_that_repeat_an_id_count_once(spark, docs, monkeypatch):
     rows = sample(20)
     quality.fit(docs([*rows, *((1, f"text {k}") for k in range(50))]), labels(spark, [(i, i % 2) for i, _ in rows]))
     assert seen == [sum(not held(i) for i, _ in rows)]
+
+
+def test_driver_holds_two_bytes_for_an_indicator(spark, docs, monkeypatch):
+    """The fit's rows are small, and it makes no copy of them in eight bytes each."""
+    seen, rng = [], np.random.default_rng(2)
+    monkeypatch.setattr(quality, "fit_rows", lambda rows, y, f=quality.fit_rows, **k: seen.extend(rows) or f(rows, y, **k))
+    texts = sample(20) + [(100, "".join(map(chr, rng.integers(33, 1000, 40_000)))), (101, "")]
+    quality.fit(docs(texts), labels(spark, [(i, i % 2) for i, _ in texts]))
+    want = [np.flatnonzero(quality.indicators(t.encode())) for i, t in texts if not held(i)]
+    assert sorted(map(list, seen)) == sorted(map(list, want)) and max(map(len, want)) > 4096
+    assert sum(x.nbytes for x in seen) == 2 * sum(map(len, want))
+    rows = [np.sort(rng.choice(1 << quality.BITS, 2000, replace=False)).astype(np.uint16) for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        quality.dual_coordinate_descent(rows, np.ones(1 << quality.BITS), np.arange(1000) % 2, epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < 4_000_000  # the rows in eight bytes are 16 MB
+    finally:
+        tracemalloc.stop()
