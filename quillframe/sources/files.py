@@ -32,22 +32,47 @@ def compression(head: bytes) -> str:
     return "xls" if head[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" else "none"
 
 
-def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of the first file."""
+def _heads(spark: SparkSession, path: str) -> Iterator[bytes]:
+    """The first bytes of each file that has any, by name."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    while fs.getFileStatus(p).isDirectory():
-        inside = sorted((s.getPath().toString() for s in fs.listStatus(p) if not s.getPath().getName().startswith((".", "_"))))
-        if not inside:
-            return b""
-        p = jvm.org.apache.hadoop.fs.Path(inside[0])
-    stream = fs.open(p)
-    try:
-        n = min(_SAMPLE, fs.getFileStatus(p).getLen())
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)) if n else b""
-    finally:
-        stream.close()
+    waiting = [fs.getFileStatus(p)]
+    while waiting:
+        status = waiting.pop()
+        if status.isDirectory():
+            inside = (s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith((".", "_")))
+            waiting += sorted(inside, key=lambda s: s.getPath().toString(), reverse=True)
+        elif n := min(_SAMPLE, status.getLen()):
+            stream = fs.open(status.getPath())
+            try:
+                yield bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+            finally:
+                stream.close()
+
+
+def _head(spark: SparkSession, path: str) -> tuple[bytes, str]:
+    """The first bytes and lines of the first file that shows what the lines are: two of them, for a header alone doesn't say so; else of the first with one.
+
+    Writers leave files without a line, or with a header only, where a part of
+    their table has no rows. The lines come after the comments of the files before.
+    """
+    best, most, comments = (b"", ""), -1, ""
+    for head in _heads(spark, path):
+        if compression(head) in ("zip", "xls") or head[:4] == b"PAR1":
+            return (head, "") if most < 1 else best
+        text = _text(head)
+        found = sum(not x.startswith(COMMENTS) for x in lines_of(text))
+        if found > most:
+            best, most = (head, comments + text), found
+        if found >= 2:
+            break
+        comments = comments or "".join(f"{x}\n" for x in lines_of(text) if x.startswith(COMMENTS))
+    return best
+
+
+def _text(head: bytes) -> str:
+    return (_gunzip(head) if compression(head) == "gzip" else head).decode("utf-8", "replace")
 
 
 def _gunzip(head: bytes) -> bytes:
@@ -101,14 +126,12 @@ def read_delimited(spark: SparkSession, path: str, header: bool | None = None, s
     header goes where a file's first line is the same. Short rows miss their
     last fields, surplus fields go.
     """
-    head = _head(spark, path)
-    kind = compression(head)
-    if kind == "zip":
+    head, sample = _head(spark, path)
+    if compression(head) == "zip":
         lines = _zip_lines(spark, path)
         sample = "\n".join(r["value"] for r in lines.limit(200).collect())
     else:
         lines = _text_lines(spark, path)
-        sample = (_gunzip(head) if kind == "gzip" else head).decode("utf-8", "replace")
     setup = sniff(sample, header, separator)
     lines = lines.filter(F.trim("value") != "")
     first = next((x for x in lines_of(sample) if not x.startswith(COMMENTS)), None)
@@ -184,7 +207,7 @@ def read_xlsx(spark: SparkSession, path: str) -> Frame:
 
 def import_path(spark: SparkSession, path: str, **options) -> Frame:
     """Whatever lies at a path (local, HDFS, S3 or any other Hadoop file system): Parquet, a workbook, or delimited text."""
-    head = _head(spark, path)
+    head, _ = _head(spark, path)
     if head[:4] == b"PAR1":
         df = spark.read.parquet(path)
         place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")]
@@ -209,11 +232,10 @@ def inspect_path(spark: SparkSession, path: str, rows: int = 10) -> dict:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-    head = _head(spark, path)
+    head, text = _head(spark, path)
     kind = compression(head)
     if kind in ("zip", "xls"):
         return {"path": path, "bytes": size, "compression": kind}
-    text = (_gunzip(head) if kind == "gzip" else head).decode("utf-8", "replace")
     lines, setup = lines_of(text), sniff(text)
     data = [x for x in lines if not x.startswith(COMMENTS)][setup.header :]
     # of a compressed sample, about a third of the text's bytes are on disk

@@ -144,3 +144,35 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         shared_dir(Cluster)
+
+
+def test_first_files_without_lines(spark, tmp_path):
+    """As parts of a table that have no rows leave them: no bytes, blank lines, comments or a header alone, in folders too."""
+    d = tmp_path / "d"
+    (d / "a" / "none").mkdir(parents=True)
+    for name, text in (("a/none/x", ""), ("a/y", "\n \n"), ("b", ""), ("c", "# c\n"), ("d", "1;u\n2;v\n"), ("e", "3;w\n")):
+        (d / name).write_text(text)
+    f = import_path(spark, str(d))
+    assert f.names == ["0", "1"] and rows(f) == [(1, "u"), (2, "v"), (3, "w")]
+    h = tmp_path / "h"
+    h.mkdir()
+    for name, text in (("a", "n,x\n"), ("b", "n,x\n1,u\n"), ("c", "n,x\n2,v\n")):
+        (h / name).write_text(text)
+    f = import_path(spark, str(h))
+    assert f.names == ["n", "x"] and rows(f) == [(1, "u"), (2, "v")]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a").write_text("")
+    (tmp_path / "one" / "b").write_text("7\n")
+    assert rows(import_path(spark, str(tmp_path / "one"))) == [(7,)]
+
+
+def test_timestamps_whose_first_part_is_empty(spark, tmp_path):
+    """One row group over several splits: its rows are in a later one."""
+    from quillframe.plans.queries import QUERIES
+
+    spark.range(20_000).selectExpr("id as event_id", "timestamp_seconds(1704067200 + id) as ts", "cast(id as double) as value", "sha2(cast(id as string), 256) as props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 17)
+    try:
+        assert QUERIES["csv_timestamps"](spark, str(tmp_path)).count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
