@@ -176,3 +176,22 @@ def test_timestamps_whose_first_part_is_empty(spark, tmp_path):
         assert QUERIES["csv_timestamps"](spark, str(tmp_path)).count() == 20_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_gzip_whose_first_part_is_empty(spark, tmp_path):
+    """A compressed file without lines has bytes all the same."""
+    from quillframe.plans.queries import QUERIES
+
+    d = tmp_path / "d"
+    d.mkdir()
+    for name, text in (("a.gz", ""), ("b.gz", "\n"), ("c.gz", " 1   2\n 3  4\n"), ("d.gz", "5 6\n")):
+        with gzip.open(d / name, "wt") as f:
+            f.write(text)
+    assert rows(import_path(spark, str(d))) == [(1, 2), (3, 4), (5, 6)]
+    assert inspect_path(spark, str(d))["rows"] == [["1", "2"], ["3", "4"]]
+    spark.range(20_000).selectExpr("id as c_custkey", "sha2(cast(id as string), 256) as c_name", "cast(id % 25 as int) as c_nationkey", "cast(id as double) / 4 as c_acctbal").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 17)
+    try:
+        assert QUERIES["gzip_scan"](spark, str(tmp_path)).count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
