@@ -29,6 +29,21 @@ def log(a: Column) -> Column:
     return F.when(F.isnan(a) | (a < 0), F.lit(NAN)).when(a == 0, F.lit(-INF)).otherwise(F.ln(a))
 
 
+def rounded(a: Column, digits: int) -> Column:
+    """To so many digits as SQL rounds doubles: scaled, rounded to a whole number with halves away from 0, scaled back.
+
+    Spark's own round() goes through the shortest decimal form, which can be
+    half where the scaled number is just below.
+    """
+    a, scale = dbl(a), F.lit(10.0**digits)
+    t = a * scale
+    whole = F.rint(t)
+    # rint takes halves to the even side
+    whole = F.when((t - whole == 0.5) & (t > 0), whole + 1).when((t - whole == -0.5) & (t < 0), whole - 1).otherwise(whole)
+    out = whole / scale
+    return F.when(F.isnan(out) | (F.abs(out) == INF), a).otherwise(out)
+
+
 def xlogx(a: Column) -> Column:
     """x ln x, 0 for x below 1e-6."""
     a = dbl(a)

@@ -56,8 +56,8 @@ def _vector(name: str, expression: str, sql: str, table: str = "orders", digits:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = evaluate(tables(spark, sf_dir, table), expression).only()
-        x = F.round(out.expr, digits) if digits is not None else out.expr
-        return out.rows.df.select(key, x.alias("x"))
+        df = out.rows.df.select(key, out.expr.alias("x"))
+        return df.withColumn("x", ieee.rounded(F.col("x"), digits)) if digits is not None else df
 
     QUERIES[name] = run
     SQL[name] = f"select {key}, {f'round({sql}, {digits})' if digits is not None else sql} as x from {table}"
@@ -86,13 +86,13 @@ _vector("assign_and_reuse", "(t = orders$o_totalprice) * 2", "o_totalprice * 2.0
 @query("select round(sum(l_extendedprice), 2) as x from lineitem where l_discount > 0.05")
 def exec_sum_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = evaluate(tables(spark, sf_dir, "lineitem"), "filter(lineitem, lineitem$l_discount > 0.05)$l_extendedprice")
-    return aggregate.aggregates(f.only(), ["sum"]).select(F.round("sum", 2).alias("x"))
+    return aggregate.aggregates(f.only(), ["sum"]).select(ieee.rounded(F.col("sum"), 2).alias("x"))
 
 
 @query("select min(l_quantity) as min, max(l_quantity) as max, sum(l_quantity) as sum, round(avg(l_quantity), 8) as mean from lineitem")
 def column_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = evaluate(tables(spark, sf_dir, "lineitem"), "lineitem$l_quantity").only()
-    return aggregate.aggregates(v, ["min", "max", "sum", "mean"]).withColumn("mean", F.round("mean", 8))
+    return aggregate.aggregates(v, ["min", "max", "sum", "mean"]).withColumn("mean", ieee.rounded(F.col("mean"), 8))
 
 
 @query("""select round(min(x), 8) as min, round(max(x), 8) as max, round(sum(x), 3) as sum, round(avg(x), 8) as mean from
@@ -100,7 +100,7 @@ def column_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aggregates_skip_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = evaluate(tables(spark, sf_dir, "lineitem"), "lineitem$l_quantity / lineitem$l_tax * (lineitem$l_tax / lineitem$l_tax)").only()
     out = aggregate.aggregates(v, ["min", "max", "sum", "mean"])
-    return out.select(F.round("min", 8).alias("min"), F.round("max", 8).alias("max"), F.round("sum", 3).alias("sum"), F.round("mean", 8).alias("mean"))
+    return out.select(ieee.rounded(F.col("min"), 8).alias("min"), ieee.rounded(F.col("max"), 8).alias("max"), ieee.rounded(F.col("sum"), 3).alias("sum"), ieee.rounded(F.col("mean"), 8).alias("mean"))
 
 
 @query("""
@@ -112,7 +112,7 @@ union all select 'l_returnflag', 'enum', 0, count(distinct l_returnflag) - 1, nu
 def column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tables(spark, sf_dir, "lineitem").get("lineitem")
     f = Frame(f.rows, {"l_quantity": f.columns["l_quantity"], "tax": F.nullif(F.col("l_tax"), F.lit(0.0)), "l_linenumber": f.columns["l_linenumber"], "l_returnflag": f.columns["l_returnflag"]})
-    return summary.summary(f).withColumn("mean", F.round("mean", 6)).withColumn("sigma", F.round("sigma", 6))
+    return summary.summary(f).withColumn("mean", ieee.rounded(F.col("mean"), 6)).withColumn("sigma", ieee.rounded(F.col("sigma"), 6))
 
 
 @query("select * from orders where o_totalprice > 200000 and o_custkey % 3 = 0")
@@ -203,7 +203,7 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select o_orderkey, round((o_totalprice - m) / s, 8) as o_totalprice from orders, (select avg(o_totalprice) as m, stddev_pop(o_totalprice) as s from orders)""")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = factor.standardize(tables(spark, sf_dir, "orders").get("orders").select(["o_orderkey", "o_totalprice"]), ["o_totalprice"])
-    return f.df.withColumn("o_totalprice", F.round("o_totalprice", 8))
+    return f.df.withColumn("o_totalprice", ieee.rounded(F.col("o_totalprice"), 8))
 
 
 @query("""select count(*) as n, round(avg(l_quantity), 6) as x_mean, round(avg(l_extendedprice), 4) as y_mean, round(stddev_samp(l_quantity), 6) as x_sd, round(stddev_samp(l_extendedprice), 4) as y_sd,
@@ -211,7 +211,7 @@ round(var_samp(l_quantity), 6) as x_var, round(var_samp(l_extendedprice), 0) as
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.covariance(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.col("l_quantity"), F.col("l_extendedprice"))
     digits = {"x_mean": 6, "y_mean": 4, "x_sd": 6, "y_sd": 4, "x_var": 6, "y_var": 0, "covariance": 2, "correlation": 8}
-    return out.select("n", *(F.round(c, d).alias(c) for c, d in digits.items()))
+    return out.select("n", *(ieee.rounded(F.col(c), d).alias(c) for c, d in digits.items()))
 
 
 @query("""with a as (select regr_count(y, x) as n, regr_intercept(y, x) as b0, regr_slope(y, x) as b1, regr_r2(y, x) as r2, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy, regr_sxy(y, x) as sxy, avg(x) as mx
@@ -222,14 +222,14 @@ def linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     out = stats.linear_regression(df, F.col("l_quantity"), F.when(F.col("l_tax") != 0, F.col("l_extendedprice")))
     return out.select(
-        F.col("rows").cast("long").alias("rows"), F.round("beta0", 5).alias("beta0"), F.round("beta1", 6).alias("beta1"), F.round("beta0_std_err", 5).alias("beta0_std_err"),
-        F.round("beta1_std_err", 6).alias("beta1_std_err"), F.round("r2", 8).alias("r2"), *(F.round(F.col(c) / 1e6, 3).alias(c) for c in ("ssto", "sse", "ssr")),
+        F.col("rows").cast("long").alias("rows"), ieee.rounded(F.col("beta0"), 5).alias("beta0"), ieee.rounded(F.col("beta1"), 6).alias("beta1"), ieee.rounded(F.col("beta0_std_err"), 5).alias("beta0_std_err"),
+        ieee.rounded(F.col("beta1_std_err"), 6).alias("beta1_std_err"), ieee.rounded(F.col("r2"), 8).alias("r2"), *(ieee.rounded(F.col(c) / 1e6, 3).alias(c) for c in ("ssto", "sse", "ssr")),
     )
 
 
 @query("""select class, n as count, round(n / sum(n) over (), 8) as ratio from (select c_nationkey::bigint as class, count(*) as n from customer group by all)""")
 def class_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.class_ratios(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_nationkey")).withColumn("ratio", F.round("ratio", 8))
+    return aggregate.class_ratios(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_nationkey")).withColumn("ratio", ieee.rounded(F.col("ratio"), 8))
 
 
 @query("select * from customer where c_nationkey in (3, 7)")
@@ -274,7 +274,7 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     out = stats.gram(df, [F.col("l_quantity"), F.col("l_tax")], F.col("l_extendedprice")).drop("yy")
     digits = {"xx_0_1": 6, "xx_1_1": 6, "xx_1_2": 6, "xy_0": 0, "xy_1": 1, "xy_2": 1}
-    return out.select(*(F.round(c, digits[c]).alias(c) if c in digits else c for c in out.columns))
+    return out.select(*(ieee.rounded(F.col(c), digits[c]).alias(c) if c in digits else c for c in out.columns))
 
 
 @query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as r from orders) where (r - 2) % 5 <> 0 or r < 2 and (r + 3) % 5 <> 0")
@@ -393,7 +393,7 @@ _CENTRES = [[5.0, 0.01], [25.0, 0.04], [45.0, 0.07]]
 select case when a <= b and a <= c then 0 when b <= c then 1 else 2 end as cluster, count(*) as n, round(avg(x), 8) as l_quantity, round(avg(y), 8) as l_tax from p group by all""")
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kmeans.lloyd_step(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_tax"], _CENTRES)
-    return out.select("cluster", "n", F.round("l_quantity", 8).alias("l_quantity"), F.round("l_tax", 8).alias("l_tax"))
+    return out.select("cluster", "n", ieee.rounded(F.col("l_quantity"), 8).alias("l_quantity"), ieee.rounded(F.col("l_tax"), 8).alias("l_tax"))
 
 
 @query()
