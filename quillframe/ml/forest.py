@@ -24,6 +24,8 @@ from quillframe.operators.rows import in_bag
 
 #: Trees that grow at the same time.
 TOGETHER = 8
+#: Rows of a part that one task reads for each level of a tree.
+PART_ROWS = 500_000
 
 
 @dataclass
@@ -160,19 +162,29 @@ def fit(
     w = F.lit(1.0)
     for c, v in (weights or {}).items():
         w = F.when(F.col("y") == classes.index(c), float(v)).otherwise(w)
-    vectors = VectorAssembler(inputCols=[f"x{k}" for k in range(len(names))], outputCol="features").transform(df.withColumn("w", w)).select("key", "y", "w", "features").persist()
+    seeds = [(seed + n * 7919) % (1 << 31) for n in range(ntree)]
+
+    def bag(s: int) -> Column:
+        out = in_bag(F.col("key"), sample / 100, s)
+        for c, share in (strata or {}).items():
+            out = F.when(F.col("y") == classes.index(c), in_bag(F.col("key"), share / 100, s)).otherwise(out)
+        return out
+
+    # a row keeps a bit for each bag in place of its key, and its values as they are: vectors are made of them when a tree reads them
+    masks = [sum((F.when(bag(s), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, s in enumerate(seeds[i : i + 60])), F.lit(0).cast("long")).alias(f"bags{i // 60}") for i in range(0, ntree, 60)]
+    xs = [f"x{k}" for k in range(len(names))]
+    parts = _in_parts(df.select(F.xxhash64("key").alias("h"), "y", *xs, *masks), "h", len(f)).drop("h").persist()
     per_split = features or max(1, int(len(names) ** 0.5))
     try:
         def grow(n: int) -> tuple[Tree, int]:
-            bag_seed = (seed + n * 7919) % (1 << 31)
-            bag = in_bag(F.col("key"), sample / 100, bag_seed)
-            for c, share in (strata or {}).items():
-                bag = F.when(F.col("y") == classes.index(c), in_bag(F.col("key"), share / 100, bag_seed)).otherwise(bag)
+            bag_seed = seeds[n]
+            rows = parts.filter(F.col(f"bags{n // 60}").bitwiseAND(F.lit(1 << n % 60)) != 0).select("y", *xs)
+            rows = VectorAssembler(inputCols=xs, outputCol="features").transform(rows).select("y", w.alias("w"), "features")
             rf = RandomForestClassifier(
                 labelCol="y", featuresCol="features", weightCol="w", numTrees=1, bootstrap=False, subsamplingRate=1.0, impurity="gini" if gini else "entropy",
                 maxBins=max(2, bin_limit), maxDepth=min(30, depth), featureSubsetStrategy=str(min(per_split, len(names))), seed=bag_seed,
             )
-            return Tree.from_debug_string(rf.fit(vectors.filter(bag)).trees[0].toDebugString), bag_seed
+            return Tree.from_debug_string(rf.fit(rows).trees[0].toDebugString), bag_seed
 
         # bags don't depend on each other: several trees grow at a time, so that the cluster isn't idle between levels
         with ThreadPoolExecutor(max(1, min(TOGETHER, ntree))) as pool:
@@ -180,10 +192,18 @@ def fit(
                 forest.trees.append(tree)
                 forest.seeds.append(bag_seed)
     finally:
-        vectors.unpersist()
+        parts.unpersist()
     return forest
 
 
+def _in_parts(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """df in parts whose size doesn't grow with it, dealt by a hash and in its order, so that a part is the same each time; few rows stay as they are."""
+    if rows <= PART_ROWS:
+        return df
+    parts = max(-(-rows // PART_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, by).sortWithinPartitions(by)
+
+
 def _classes(f: Frame, response: str) -> list[str]:
     if dict(f.df.dtypes)[response] in ("int", "bigint", "smallint", "tinyint"):
         # whole numbers keep their own order

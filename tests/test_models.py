@@ -129,3 +129,22 @@ def test_too_many_classes_are_an_error(spark, monkeypatch):
     f = Frame.of(spark.range(20).selectExpr("id", "id % 6 as y", "id * 2 as x"), "id")
     with pytest.raises(ValueError):
         forest.fit(f, "y", ["x"], ntree=1)
+
+
+def test_forest_reads_bounded_parts(spark, monkeypatch):
+    """However many rows a part of the table has, a task that grows trees reads few; the forest is the same."""
+    df = spark.range(0, 20_000, 1, 1).selectExpr("id", "cast(hash(id) % 1000 as double) as a", "cast(hash(id, 1) % 50 as double) as b", "if(hash(id) % 1000 + hash(id, 2) % 300 > 0, 'u', 'v') as y")
+    f = Frame.of(df, "id")
+    once = dict(ntree=2, depth=4, features=2, strata={"u": 50.0}, weights={"v": 2.0})
+    whole = forest.fit(f, "y", ["a", "b"], **once)
+    seen = []
+
+    class Watched(forest.RandomForestClassifier):
+        def fit(self, rows):
+            seen.append(max(r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()))
+            return super().fit(rows)
+
+    monkeypatch.setattr(forest, "PART_ROWS", 2000, raising=False)
+    monkeypatch.setattr(forest, "RandomForestClassifier", Watched)
+    assert forest.fit(f, "y", ["a", "b"], **once).to_json() == whole.to_json()
+    assert len(seen) == 2 and max(seen) <= 2000
