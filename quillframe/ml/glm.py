@@ -28,16 +28,16 @@ LINKS = {
 }
 
 
-def _deviance(family: str, y: Column, m: Column) -> Column:
+def _deviance(family: str, y: np.ndarray, m: np.ndarray | float) -> np.ndarray:
     if family == "binomial":
-        m = F.least(F.greatest(m, F.lit(1e-12)), F.lit(1 - 1e-12))
-        return -2 * (y * F.ln(m) + (1 - y) * F.ln(1 - m))
+        m = np.clip(m, 1e-12, 1 - 1e-12)
+        return -2 * (y * np.log(m) + (1 - y) * np.log(1 - m))
     if family == "poisson":
-        m = F.greatest(m, F.lit(1e-12))
-        return 2 * (F.when(y > 0, y * F.ln(y / m)).otherwise(0.0) - (y - m))
+        m = np.maximum(m, 1e-12)
+        return 2 * (np.where(y > 0, y * np.log(y / m), 0.0) - (y - m))
     if family == "gamma":
-        m = F.greatest(m, F.lit(1e-12))
-        return 2 * (-F.ln(F.greatest(y, F.lit(1e-12)) / m) + (y - m) / m)
+        m = np.maximum(m, 1e-12)
+        return 2 * (-np.log(np.maximum(y, 1e-12) / m) + (y - m) / m)
     return (y - m) * (y - m)
 
 
@@ -123,12 +123,28 @@ def fit(
 ) -> GlmModel:
     """Iteratively reweighted least squares with an elastic net; gaussian with the identity link takes one step.
 
+    See fit_many().
+    """
+    return fit_many(
+        f, response, [(lam, alpha)], predictors, family, link, weight, case, standardize, thresholds, solver, beta_eps, max_iter, folds, metric, start
+    )[0]
+
+
+def fit_many(
+    f: Frame, response: str, penalties: Sequence[tuple[float, float]], predictors: Sequence[str] | None = None, family: str = "gaussian", link: str | None = None,
+    weight: str | None = None, case: Case | None = None, standardize: bool = True, thresholds: str | Sequence[float] = "0:1:0.01", solver: str = "ADMM",
+    beta_eps: float = 1e-4, max_iter: int = 50, folds: int = 0, metric: str = "SUMC", start: np.ndarray | None = None,
+) -> list[GlmModel]:
+    """A model for each pair of lambda and alpha: each pass over the rows takes a step of all that still move.
+
     Rows that miss any value are left out. A string column is expanded to a 0/1
     term for each value. case turns the response into 0/1. weight, if given,
     is a column that multiplies each row's part.
     """
     from quillframe.operators.summary import default_columns
 
+    if not penalties:
+        return []
     link = link or FAMILIES[family]
     if family not in FAMILIES or link not in LINKS:
         raise ValueError("unknown family or link")
@@ -142,7 +158,7 @@ def fit(
         else:
             terms.append((c, None))
     y = case.apply(f.columns[response], f, response) if case else ieee.dbl(f.columns[response])
-    shell = GlmModel(response, terms, [], family, link, 0, False, case.text if case else None, lam=lam, alpha=alpha)
+    shell = GlmModel(response, terms, [], family, link, 0, False, case.text if case else None)
     xs = shell.columns(f)
     w = ieee.dbl(f.columns[weight]) if weight else F.lit(1.0)
     base = f.rows.df.select(*(x.alias(f"x{k}") for k, x in enumerate(xs)), y.alias("y"), w.alias("w")).na.drop()
@@ -155,84 +171,112 @@ def fit(
                 mean[k], scale[k] = s[f"m{k}"], s[f"s{k}"]
     z = [(F.col(f"x{k}") - F.lit(float(mean[k]))) / F.lit(float(scale[k])) for k in range(p)]
     _, inverse, slope = LINKS[link]
-    beta, done, steps = (start if start is not None else np.zeros(p + 1)), False, 0
     solve = SOLVERS[solver]
-    first = start is None
     one_step = family == "gaussian" and link == "identity"
+    betas = [start if start is not None else np.zeros(p + 1)] * len(penalties)
+    done, steps = [False] * len(penalties), [0] * len(penalties)
+
+    def working(beta: np.ndarray | None) -> tuple[Column, Column]:
+        """What a step regresses on, and its weights; None before the first."""
+        if beta is None:
+            # the usual start: a mean near y itself
+            m = {"binomial": (F.col("y") + 0.5) / 2, "poisson": F.col("y") + 0.1, "gamma": F.greatest(F.col("y"), F.lit(1e-6))}.get(family, F.col("y"))
+            eta = LINKS[link][0](m)
+        else:
+            eta = F.lit(float(beta[-1]))
+            for b, c in zip(beta, z, strict=False):
+                eta = eta + F.lit(float(b)) * c
+            m = inverse(eta)
+        d = slope(eta)
+        return eta + (F.col("y") - m) / d, F.col("w") * d * d / _variance(family, m)
+
     if not one_step:
         base = base.persist()
     try:
-        for steps in range(1, (1 if one_step else max_iter) + 1):  # noqa: B007
+        for step in range(1, (1 if one_step else max_iter) + 1):
+            moving = [k for k in range(len(penalties)) if not done[k]]
+            if not moving:
+                break
+            first = step == 1 and start is None
             if one_step:
-                target, weights = F.col("y"), F.col("w")
+                found = [stats.moments(base, z, F.col("y"), F.col("w"))] * len(moving)
+            elif step == 1:
+                found = stats.many_moments(base, z, [working(None if first else start)]) * len(moving)
             else:
-                if first:
-                    # the usual start: a mean near y itself
-                    m = {"binomial": (F.col("y") + 0.5) / 2, "poisson": F.col("y") + 0.1, "gamma": F.greatest(F.col("y"), F.lit(1e-6))}.get(family, F.col("y"))
-                    eta = LINKS[link][0](m)
-                else:
-                    eta = F.lit(float(beta[-1]))
-                    for b, c in zip(beta, z, strict=False):
-                        eta = eta + F.lit(float(b)) * c
-                    m = inverse(eta)
-                d = slope(eta)
-                target, weights = eta + (F.col("y") - m) / d, F.col("w") * d * d / _variance(family, m)
-            n, xx, xy = stats.moments(base, z, target, weights)
-            if not n:
-                raise ValueError("no row without missing values")
-            xx, xy = xx / n, xy / n
-            try:
-                new = solve(xx, xy, lam, alpha)
-            except np.linalg.LinAlgError:
-                new = generalized_gradient(xx, xy, lam, alpha)
-            moved = float(np.abs(new - beta).max()) if not first else math.inf
-            beta, first = new, False
-            if moved <= beta_eps or one_step:
-                done = True
-                break
+                found = stats.many_moments(base, z, [working(betas[k]) for k in moving])
+            for k, (n, xx, xy) in zip(moving, found, strict=True):
+                if not n:
+                    raise ValueError("no row without missing values")
+                xx, xy = xx / n, xy / n
+                try:
+                    new = solve(xx, xy, *penalties[k])
+                except np.linalg.LinAlgError:
+                    new = generalized_gradient(xx, xy, *penalties[k])
+                moved = float(np.abs(new - betas[k]).max()) if not first else math.inf
+                betas[k], steps[k] = new, step
+                done[k] = moved <= beta_eps or one_step
     finally:
         if not one_step:
             base.unpersist()
-    raw = beta[:-1] / scale
-    model = replace(shell, beta=[*map(float, raw), float(beta[-1] - (raw * mean).sum())], iterations=steps, converged=done)
-    model.validation = validate(model, f, thresholds, case, metric)
-    if folds > 1:
-        model.folds = cross_validate(
-            model, f, folds, case=case, predictors=names, weight=weight, standardize=standardize, thresholds=thresholds, solver=solver, beta_eps=beta_eps, max_iter=max_iter, metric=metric
-        )
-    return model
+    models = []
+    for k, (lam, alpha) in enumerate(penalties):
+        raw = betas[k][:-1] / scale
+        models.append(replace(shell, beta=[*map(float, raw), float(betas[k][-1] - (raw * mean).sum())], iterations=steps[k], converged=done[k], lam=lam, alpha=alpha))
+    for m, v in zip(models, validate_many(models, f, thresholds, case, metric), strict=True):
+        m.validation = v
+        if folds > 1:
+            m.folds = cross_validate(
+                m, f, folds, case=case, predictors=names, weight=weight, standardize=standardize, thresholds=thresholds, solver=solver, beta_eps=beta_eps, max_iter=max_iter, metric=metric
+            )
+    return models
 
 
 def validate(model: GlmModel, f: Frame, thresholds: str | Sequence[float] = "0:1:0.01", case: Case | None = None, metric: str = "SUMC") -> Validation:
     """Deviances, AIC, error, and for binomial models the confusion matrices, area and best threshold, over a frame."""
+    return validate_many([model], f, thresholds, case, metric)[0]
+
+
+def validate_many(models: Sequence[GlmModel], f: Frame, thresholds: str | Sequence[float] = "0:1:0.01", case: Case | None = None, metric: str = "SUMC") -> list[Validation]:
+    """validate() for models of one response and family, with two passes over the rows for all."""
+    model = models[0]
     case = case or (Case.parse(model.case) if model.case else None)
     y = case.apply(f.columns[model.response], f, model.response) if case else ieee.dbl(f.columns[model.response])
-    rows = f.rows.df.select(y.alias("y"), model.predict(f).alias("m")).na.drop()
-    mean = rows.agg(F.avg("y")).first()[0]
-    if mean is None:
+    rows = f.rows.df.select(ieee.valid(y).alias("y"), *(ieee.valid(m.predict(f)).alias(f"m{k}") for k, m in enumerate(models)))
+    means = rows.agg(*(F.avg(F.when(F.col(f"m{k}").isNotNull(), F.col("y"))) for k in range(len(models)))).first()
+    if any(x is None for x in means):
         raise ValueError("no row without missing values")
-    r = rows.agg(
-        F.count("*").alias("n"), F.sum(_deviance(model.family, F.col("y"), F.col("m"))).alias("dev"),
-        F.sum(_deviance(model.family, F.col("y"), F.lit(float(mean)))).alias("null"), F.avg((F.col("y") - F.col("m")) ** 2).alias("mse"),
-        F.sum(F.col("y") * F.ln(F.greatest(F.col("m"), F.lit(1e-12))) - F.col("m")).alias("ll"),
-    ).first()
-    rank = sum(b != 0 for b in model.beta[:-1]) + 1
-    n, dev = r["n"], r["dev"]
-    if model.family == "gaussian":
-        aic = n * (math.log(2 * math.pi * max(dev, 1e-300) / n) + 1) + 2 * (rank + 1)
-    elif model.family == "binomial":
-        aic = dev + 2 * rank
-    elif model.family == "poisson":
-        aic = -2 * (r["ll"] - _log_factorials(rows)) + 2 * rank
-    else:
-        aic = math.nan
-    v = Validation(n, n - rank, dev, r["null"], aic, r["mse"])
-    if model.family == "binomial":
-        ts = sequence(thresholds) if isinstance(thresholds, str) else list(thresholds)
-        v.matrices = [tuple(x) for x in stats.threshold_counts(rows, F.col("y"), F.col("m"), ts).collect()]
-        k = stats.best_threshold(v.matrices, metric)
-        v.threshold, v.auc, v.error = v.matrices[k][0], stats.auc(v.matrices), stats.METRICS["TOTAL"](*v.matrices[k][1:])
-    return v
+    family = model.family
+    ts = np.array(sorted(sequence(thresholds) if isinstance(thresholds, str) else thresholds) if family == "binomial" else [], dtype=float)
+    size = 5 + 2 * (len(ts) + 1)
+
+    def part(y: np.ndarray, *predicted: np.ndarray) -> np.ndarray:
+        out = []
+        for m, mean in zip(predicted, means, strict=True):
+            on = ~(np.isnan(y) | np.isnan(m))
+            a, b = y[on], m[on]
+            ll = a * np.log(np.maximum(b, 1e-12)) - b
+            out += [[len(a), _deviance(family, a, b).sum(), _deviance(family, a, float(mean)).sum(), ((a - b) ** 2).sum(), ll.sum()], stats.by_threshold(a, b, ts)]
+        return np.concatenate(out)
+
+    out = []
+    for k, (m, r) in enumerate(zip(models, stats.totals(rows, part, len(models) * size).reshape(len(models), size), strict=True)):
+        n, (dev, null, squares, ll) = int(r[0]), map(float, r[1:5])
+        rank = sum(b != 0 for b in m.beta[:-1]) + 1
+        if family == "gaussian":
+            aic = n * (math.log(2 * math.pi * max(dev, 1e-300) / n) + 1) + 2 * (rank + 1)
+        elif family == "binomial":
+            aic = dev + 2 * rank
+        elif family == "poisson":
+            aic = -2 * (ll - _log_factorials(rows.filter(F.col(f"m{k}").isNotNull() & F.col("y").isNotNull()))) + 2 * rank
+        else:
+            aic = math.nan
+        v = Validation(n, n - rank, dev, null, aic, squares / n)
+        if family == "binomial":
+            v.matrices = stats.matrices(r[5:], ts)
+            best = stats.best_threshold(v.matrices, metric)
+            v.threshold, v.auc, v.error = v.matrices[best][0], stats.auc(v.matrices), stats.METRICS["TOTAL"](*v.matrices[best][1:])
+        out.append(v)
+    return out
 
 
 def _log_factorials(rows) -> float:
@@ -263,7 +307,7 @@ def grid(f: Frame, response: str, lambdas: str | Sequence[float], alphas: str |
     """Models of all pairs, lambda descending; binomial ones ranked by area, class errors and error, others by error."""
     ls = sorted(sequence(lambdas) if isinstance(lambdas, str) else lambdas, reverse=True)
     als = sequence(alphas) if isinstance(alphas, str) else list(alphas)
-    models = [fit(f, response, lam=a, alpha=b, **options) for a in ls for b in als]
+    models = fit_many(f, response, [(a, b) for a in ls for b in als], **options)
 
     def rank(m: GlmModel) -> tuple:
         v = m.validation

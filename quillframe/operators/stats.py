@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,18 +56,40 @@ def density(df: DataFrame, x: Column, y: Column, width: int = 800, height: int =
 
 def threshold_counts(df: DataFrame, actual: Column, predicted: Column, thresholds: Sequence[float]) -> DataFrame:
     """threshold, tn, fp, fn, tp for each threshold: positive if predicted >= threshold. One pass, few rows for the driver."""
-    ts = sorted(thresholds)
-    # one function over a constant, as a condition for each threshold outgrows what a generated method may hold
-    bin_ = F.size(F.filter(F.array(*(F.lit(float(t)) for t in ts)), lambda t: t <= F.col("p")))
+    ts = np.array(sorted(thresholds), dtype=float)
     rows = df.select(ieee.dbl(actual).alias("a"), ieee.dbl(predicted).alias("p")).filter("a is not null and p is not null")
-    bins = rows.select((F.col("a") != 0).alias("pos"), bin_.alias("b")).groupBy("b").agg(F.sum(F.col("pos").cast("long")).alias("p"), F.sum((~F.col("pos")).cast("long")).alias("n"))
-    known = {r["b"]: (r["p"], r["n"]) for r in bins.collect()}
-    total_p, total_n = (sum(v[k] for v in known.values()) for k in (0, 1))
-    out = []
-    for k, t in enumerate(ts):
-        tp, fp = (sum(v[j] for b, v in known.items() if b > k) for j in (0, 1))
-        out.append((float(t), total_n - fp, fp, total_p - tp, tp))
-    return df.sparkSession.createDataFrame(out, "threshold double, tn long, fp long, fn long, tp long")
+    found = totals(rows, lambda a, p: by_threshold(a, p, ts), 2 * (len(ts) + 1))
+    return df.sparkSession.createDataFrame(matrices(found, ts), "threshold double, tn long, fp long, fn long, tp long")
+
+
+def totals(rows: DataFrame, part: Callable[..., np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of part(columns as arrays), an array of so many numbers.
+
+    A task adds up its batches, and the tasks' arrays are added up entry by
+    entry before the driver sees them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        with np.errstate(all="ignore"):
+            for b in batches:
+                if b.num_rows:
+                    total += part(*(c.to_numpy(zero_copy_only=False) for c in b.columns))
+        yield pa.record_batch([pa.array(np.arange(size)), pa.array(total)], ["k", "v"])
+
+    sums = {r["k"]: r["v"] for r in rows.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    return np.array([sums.get(k, 0.0) for k in range(size)])
+
+
+def by_threshold(actual: np.ndarray, predicted: np.ndarray, ts: np.ndarray) -> np.ndarray:
+    """Rows by how many of the sorted thresholds they reach: those that count as true, then the others. NaN is above all."""
+    bins = np.searchsorted(ts, predicted, side="right")
+    return np.concatenate([np.bincount(bins[(actual != 0) == t], minlength=len(ts) + 1) for t in (True, False)]).astype(float)
+
+
+def matrices(found: np.ndarray, ts: np.ndarray) -> list[tuple[float, int, int, int, int]]:
+    """threshold, tn, fp, fn, tp from the sums of by_threshold()."""
+    pos, neg = (x[::-1].cumsum()[::-1] for x in found.astype(np.int64).reshape(2, -1))
+    return [(float(t), int(neg[0] - neg[k + 1]), int(neg[k + 1]), int(pos[0] - pos[k + 1]), int(pos[k + 1])) for k, t in enumerate(ts)]
 
 
 def class_errors(tn: int, fp: int, fn: int, tp: int) -> tuple[float, float]:
@@ -119,21 +141,28 @@ def moments(df: DataFrame, xs: Sequence[Column], y: Column, w: Column | None = N
         r = gram(df, xs, y, w).first()
         xx = np.array([[r[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], dtype=float)
         return r["n"], xx, np.array([r[f"xy_{i}"] for i in range(p)], dtype=float)
-    named = df.select(
-        *(ieee.dbl(x).alias(f"x{k}") for k, x in enumerate(xs)), F.lit(1.0).alias(f"x{p - 1}"), ieee.dbl(y).alias("y"), (ieee.dbl(w) if w is not None else F.lit(1.0)).alias("w")
-    ).na.drop()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((p, p + 1)), 0
-        for b in batches:
-            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[: p + 1]])
-            total += (z[:, :p] * b.columns[p + 1].to_numpy(zero_copy_only=False)[:, None]).T @ z
-            n += b.num_rows
-        yield pa.record_batch([pa.array(np.arange(total.size + 1)), pa.array(np.append(total.ravel(), float(n)))], ["k", "v"])
-
-    sums = {r["k"]: r["v"] for r in named.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    found = np.array([sums.get(k, 0.0) for k in range(p * (p + 1))]).reshape(p, p + 1)
-    return int(sums.get(p * (p + 1), 0)), found[:, :p], found[:, p]
+    return many_moments(df, xs, [(y, w if w is not None else F.lit(1.0))])[0]
+
+
+def many_moments(df: DataFrame, xs: Sequence[Column], weighted: Sequence[tuple[Column, Column]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """moments() of the same columns for several pairs of y and w, in one pass; a row that misses a pair's value is left out of that pair."""
+    p, n = len(xs) + 1, len(weighted)
+    size = p * (p + 1) + 1
+    named = df.select(*(ieee.dbl(x).alias(f"x{k}") for k, x in enumerate(xs)), *(ieee.dbl(c).alias(f"{a}{k}") for k, pair in enumerate(weighted) for a, c in zip("yw", pair, strict=True)))
+    named = named.na.drop(subset=[f"x{k}" for k in range(p - 1)]) if p > 1 else named
+
+    def part(*columns: np.ndarray) -> np.ndarray:
+        x = np.column_stack([*columns[: p - 1], np.ones(len(columns[0]))]).astype(float, copy=False)
+        out = []
+        for y, w in zip(columns[p - 1 :: 2], columns[p::2], strict=True):
+            z, v = np.column_stack([x, y]), w
+            if not (on := ~(np.isnan(y) | np.isnan(w))).all():
+                z, v = z[on], w[on]
+            out += [((z[:, :p] * v[:, None]).T @ z).ravel(), [float(len(z))]]
+        return np.concatenate(out)
+
+    found = totals(named, part, n * size).reshape(n, size)
+    return [(int(r[-1]), r[:-1].reshape(p, p + 1)[:, :p], r[:-1].reshape(p, p + 1)[:, p]) for r in found]
 
 
 def gram(df: DataFrame, xs: Sequence[Column], y: Column, w: Column | None = None) -> DataFrame:

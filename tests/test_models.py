@@ -148,3 +148,23 @@ def test_forest_reads_bounded_parts(spark, monkeypatch):
     monkeypatch.setattr(forest, "RandomForestClassifier", Watched)
     assert forest.fit(f, "y", ["a", "b"], **once).to_json() == whole.to_json()
     assert len(seen) == 2 and max(seen) <= 2000
+
+
+def test_grid_takes_the_passes_of_one_model(spark, frame):
+    """However many pairs: each model is the one that is fitted alone."""
+    options = dict(predictors=["x", "z"], family="binomial", max_iter=4, beta_eps=0.0)
+
+    def jobs(name: str, *pairs) -> tuple[list, int]:
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            return glm.grid(frame, "y", *pairs, **options), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+
+    alone, n = jobs("grid-1", "0.1", "0.5")
+    all_, m = jobs("grid-6", "0.001,0.01,0.1", "0,0.5")
+    assert len(all_) == 6 and m == n and alone[0].beta == next(x for x in all_ if (x.lam, x.alpha) == (0.1, 0.5)).beta
+    for x in all_:
+        one = glm.fit(frame, "y", lam=x.lam, alpha=x.alpha, **options)
+        assert one.beta == pytest.approx(x.beta) and one.validation.matrices == x.validation.matrices and one.validation.deviance == pytest.approx(x.validation.deviance)
+    assert glm.grid(frame, "y", [], [], **options) == []
